@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding, url_filter
+from tessera.llm import ann, bpe, matroska, mixing, quality, sharding, token_files, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ann": ann.op1_ann,
+        "op2_token_files": token_files.op2_token_files,
         "op3_sharding": sharding.op3_sharding,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_matroska": matroska.op6_matroska,
+        "op7_quality": quality.op7_quality,
+        "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
 
