@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, matroska, mixing, quality, sharding, token_files, url_filter
+from tessera.llm import ann, bpe, matroska, mixing, quality, sharding, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_token_files": token_files.op2_token_files,
         "op3_sharding": sharding.op3_sharding,
+        "op4_simhash": simhash.op4_simhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_matroska": matroska.op6_matroska,
         "op7_quality": quality.op7_quality,
