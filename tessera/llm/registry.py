@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, matroska, mixing, quality, sharding, simhash, token_files, url_filter
+from tessera.llm import ann, bpe, matroska, maxent_lm, mixing, quality, sharding, simhash, token_files, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_matroska": matroska.op6_matroska,
         "op7_quality": quality.op7_quality,
+        "op8_maxent_lm": maxent_lm.op8_maxent_lm,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
