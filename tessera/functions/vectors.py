@@ -49,30 +49,32 @@ def similarity(a: Column, b: Column, metric: str) -> Column:
     if metric == "dot":
         return dot(a, b)
     if metric == "l2":
-        return -F.sqrt(l2_squared(a, b))
+        return 0.0 - F.sqrt(l2_squared(a, b))
     raise ValueError(f"unknown metric {metric}")
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, not once per element of what body builds."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mean_center(a: Column) -> Column:
     """Subtracts the mean of the vector's own components."""
-    doubles = F.transform(a, lambda x: x.cast("double"))
-    mean = _sum(doubles) / F.size(a)
-    return F.transform(doubles, lambda x: x - mean)
+    mean = _sum(F.transform(a, lambda x: x.cast("double"))) / F.size(a)
+    return _with(mean, lambda m: F.transform(a, lambda x: x.cast("double") - m))
 
 
 def l2_normalize(a: Column) -> Column:
-    length = safe_norm(a)
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return _with(safe_norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def whiten(a: Column) -> Column:
     """Divides by the norm once more."""
-    length = norm(a) + 1e-12
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return _with(norm(a) + 1e-12, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def preprocess(a: Column) -> Column:
-    return whiten(l2_normalize(mean_center(a)))
+    return _with(mean_center(a), lambda v: _with(l2_normalize(v), whiten))
 
 
 def vector_status(a: Column, multiple: int = 1) -> Column:

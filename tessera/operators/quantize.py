@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,14 @@ def nearest_centroid(vector: Column, centroids: list[list[float]]) -> Column:
 
 
 def kmeans_step(rows: DataFrame, centroids: list[list[float]], column: str = "embedding") -> DataFrame:
-    """k, n, centroid: one Lloyd step. Means are partial sums per component; no vectors are shuffled."""
+    """k, n, centroid: one Lloyd step. Means are partial sums per component; no vectors are shuffled.
+
+    The centroids come as a one-row table, bounded by k, so that all steps share one compiled plan.
+    """
     dims = len(centroids[0])
-    placed = rows.select(nearest_centroid(F.col(column), centroids).alias("k"), F.col(column).alias("v"))
+    table = rows.sparkSession.createDataFrame([(centroids,)], "__c array<array<double>>")
+    marked = F.transform("__c", lambda c, i: F.struct(V.l2_squared(F.col(column), c).alias("d"), i.alias("k")))
+    placed = rows.crossJoin(F.broadcast(table)).select(F.array_min(marked)["k"].alias("k"), F.col(column).alias("v"))
     means = placed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[i].cast("double")).alias(f"c{i}") for i in range(dims)])
     return means.select("k", "n", F.array(*[F.col(f"c{i}") for i in range(dims)]).alias("centroid"))
 
@@ -174,8 +180,6 @@ def encode(vector: Column, book: Codebook) -> Column:
 
 def encode_udf(book: Codebook):
     """The same in numpy batches, for codebooks beyond ``LITERALS`` numbers."""
-    import pandas as pd
-
     centroids = np.array([book.of(m) for m in range(book.m)])
 
     @F.pandas_udf("array<smallint>")
@@ -199,8 +203,12 @@ def decode(codes: Column, book: Codebook) -> Column:
 
 def lookup_table(query: Column, book: Codebook) -> Column:
     """ARRAY<ARRAY<DOUBLE>>: squared distances of each query part and centroid."""
-    part = lambda m: F.slice(query, m * book.sub_dims + 1, book.sub_dims)
-    return F.array(*[F.transform(literal_vectors(book.of(m)), lambda c, m=m: V.l2_squared(part(m), c)) for m in range(book.m)])
+
+    def row(m: int) -> Column:
+        part = F.slice(query, m * book.sub_dims + 1, book.sub_dims)
+        return F.transform(literal_vectors(book.of(m)), lambda c: V.l2_squared(part, c))
+
+    return F.array(*[row(m) for m in range(book.m)])
 
 
 def table_distance(table: Column, codes: Column, m: int) -> Column:

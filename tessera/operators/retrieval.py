@@ -32,7 +32,12 @@ def persona_system(persona: Column, base: str = BASE_SYSTEM) -> Column:
 def blocks(ranked: DataFrame) -> DataFrame:
     """query_id, blocks: ARRAY<STRUCT<title, lines>> in fixed order, empty ones left out."""
     held = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "content"))).alias("all"))
-    made = [F.struct(F.lit(title).alias("title"), F.transform(F.filter("all", lambda r, s=source: r["source"] == s), lambda r: r["content"]).alias("lines")) for source, title in BLOCKS]
+
+    def block(source: str, title: str) -> Column:
+        own = F.filter("all", lambda r: r["source"] == source)
+        return F.struct(F.lit(title).alias("title"), F.transform(own, lambda r: r["content"]).alias("lines"))
+
+    made = [block(source, title) for source, title in BLOCKS]
     return held.select("query_id", F.filter(F.array(*made), lambda b: F.size(b["lines"]) > 0).alias("blocks"))
 
 

@@ -191,7 +191,7 @@ def dot_topk(spark, sf_dir):
     return _search(spark, sf_dir, "dot")
 
 
-@query(_topk_sql(f"-sqrt({L2('q.embedding', 'e.embedding')})"))
+@query(_topk_sql(f"0 - sqrt({L2('q.embedding', 'e.embedding')})"))
 def l2_topk(spark, sf_dir):
     return _search(spark, sf_dir, "l2")
 
@@ -258,9 +258,9 @@ def _answers(spark, sf_dir):
 
 ANSWERS_SQL = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
 e AS (SELECT vec_id, embedding, 'note ' || (vec_id // 2) % 7 || ' of ' || label AS content FROM embeddings),
-c AS (SELECT query_id, round({COSINE("query", "embedding")}, 6) AS score, content, vec_id - 1 AS at FROM q, e WHERE vec_id % 2 = 1
+c AS (SELECT query_id, round({COSINE("query", "embedding")}, 6) AS score, content, vec_id - 1 AS place FROM q, e WHERE vec_id % 2 = 1
       UNION ALL SELECT query_id, round({COSINE("query", "list_transform(embedding, lambda x: -x)")}, 6), content || '!', vec_id FROM q, e WHERE vec_id % 2 = 1),
-cache AS (SELECT query_id, score, content, 'cache' AS source, 0 AS src_ord, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, at) AS pos FROM c WHERE score > 0 QUALIFY pos <= 5),
+cache AS (SELECT query_id, score, content, 'cache' AS source, 0 AS src_ord, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS pos FROM c WHERE score > 0 QUALIFY pos <= 5),
 memory AS (SELECT query_id, round({COSINE("query", "embedding")}, 6) AS score, content, 'memory' AS source, 1 AS src_ord, row_number() OVER (PARTITION BY query_id ORDER BY round({COSINE("query", "embedding")}, 6) DESC, vec_id) AS pos FROM q, e WHERE vec_id % 2 = 0 QUALIFY pos <= 5),
 al AS (SELECT * FROM cache UNION ALL SELECT * FROM memory UNION ALL {WEB_SQL}),
 merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src_ord, pos)::INT AS rank FROM (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY src_ord, pos) = 1))"""
@@ -430,10 +430,10 @@ def ivf_list(spark, sf_dir):
 # --- codecs -------------------------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS g FROM lineitem)
-SELECT l_orderkey, value, min(l_linenumber) AS run_start, count(*) AS length FROM r GROUP BY l_orderkey, value, g""")
+@query("""WITH r AS (SELECT user_id, event_id, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events)
+SELECT user_id, value, min(event_id) AS run_start, count(*) AS length FROM r GROUP BY user_id, value, g""")
 def rle_runs(spark, sf_dir):
-    return codecs.runs(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", ["l_orderkey"])
+    return codecs.runs(table(spark, sf_dir, "events"), "event_id", "event_type", ["user_id"])
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem WHERE l_linenumber <= 15),

@@ -30,7 +30,7 @@ def by_capacity(rows: DataFrame, key: str, order: list[str], capacity: int) -> D
 def by_capacity_or_age(rows: DataFrame, key: str, at: str, ident: str, capacity: int, ttl: float) -> DataFrame:
     """key, ident, flush_id, trigger ('flush' for the entry that flushes its batch, 'hold' else; 'manual' for what stays). at: timestamp."""
     out = f"{key} bigint, {ident} bigint, flush_id bigint, trigger string"
-    seconds = F.unix_micros(at) / F.lit(1e6)
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6)
     keyed = rows.select(F.col(key).cast("bigint").alias(key), F.col(ident).cast("bigint").alias(ident), seconds.alias("__at"))
     ordered = keyed.repartition(F.col(key)).sortWithinPartitions(key, "__at", ident)
 
