@@ -22,7 +22,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import new_path, text_or_empty
 
 MAGIC, BLOCK, END_ID = b"TSBP0001", 1 << 16, 0
-CACHE_PIECES = 700_000
+CACHE_PIECES, CACHE_TOKENS = 1_200_000, 100_000
 FOOTER = struct.Struct("<IIQQQQQ")
 
 
@@ -139,6 +138,39 @@ class Reader:
 # --- encoding -----------------------------------------------------------------------------------
 
 
+class Pieces(dict):
+    """Ids of pieces that follow a space, as little-endian 32-bit integers, made when asked for.
+
+    Empty for a piece that goes with what is before: an empty one, or one that starts with white space.
+    """
+
+    def __init__(self, bpe: ByteBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        follows = not piece or piece[:1].isspace() or piece[0] > 127 and piece.decode("utf-8", "replace")[0].isspace()
+        ids = b"" if follows else self.bpe.fresh(b" " + piece)
+        self[piece] = ids
+        return ids
+
+
+class Tokens(dict):
+    """Ids of pre-tokens, made when asked for."""
+
+    def __init__(self, bpe: ByteBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        ids = self[token] = self.bpe.token_ids(token)
+        return ids
+
+
 class ByteBpe:
     """The tokenizers library's byte-level BPE, with pieces' ids kept."""
 
@@ -148,48 +180,49 @@ class ByteBpe:
         from tessera.llm.bpe import byte_alphabet
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.special = [t.content.encode("utf-8") for t in self.whole.get_added_tokens_decoder().values()]
         self.vocabulary = self.whole.get_vocab_size()
-        self.letters = {i: c for i, c in enumerate(byte_alphabet())}
+        self.letters = str.maketrans({i: c for i, c in enumerate(byte_alphabet())})
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.pieces: dict[bytes, bytes | None] = {}
+        self.pieces, self.inner = Pieces(self), Tokens(self)
+
+    def token_ids(self, token: str) -> bytes:
+        if token.isascii() and token.isprintable():
+            shown = token.replace(" ", self.letters[32])
+        else:
+            shown = token.encode("utf-8").decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found]) if (found := self.tokenize(shown)) else b""
 
     def fresh(self, piece: bytes) -> bytes:
         """Ids of a piece, as little-endian 32-bit integers."""
-        out = []
-        for token in self.pretokens(piece.decode("utf-8", "replace")):
-            out += [t.id for t in self.model.tokenize(token.encode("utf-8").decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Pieces follow a space; None marks those that go with what is before: empty, or starting with white space."""
-        if len(self.pieces) + len(pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        for p in pieces:
-            if p not in self.pieces:
-                self.pieces[p] = None if not p or p.decode("utf-8", "replace")[0].isspace() else self.fresh(b" " + p)
+        if piece[:1] == b" " and piece[1:].isalpha():
+            return self.token_ids(piece.decode("ascii"))
+        tokens = self.pretokens(piece.decode("utf-8", "replace"))
+        if len(tokens) == 1:
+            return self.token_ids(tokens[0])
+        # The word of "word," is looked up as the piece "word".
+        return b"".join([self.pieces[t[1:].encode("utf-8")] if t[0] == " " and t[1:].isalpha() else self.inner[t] for t in tokens])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts, as little-endian 32-bit integers."""
-        cut = [t.split(b" ") for t in texts]
-        self.learn(set(chain.from_iterable(c[1:] for c in cut)))
-        known, out = self.pieces, []
-        for text, parts in zip(texts, cut):
+        look, out = self.pieces.__getitem__, []
+        for text in texts:
             if any(s in text for s in self.special):
                 out.append(np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
                 continue
-            got = [known[p] for p in parts[1:]]
-            if None not in got:
+            parts = text.split(b" ")
+            got = list(map(look, parts[1:]))
+            if all(got):
                 out.append(self.fresh(parts[0]) + b"".join(got))
                 continue
-            joined: list[list] = [[parts[0], None]]
+            joined: list[list[bytes]] = [[parts[0], b""]]
             for p, ids in zip(parts[1:], got):
-                if ids is None:
-                    joined[-1] = [joined[-1][0] + b" " + p, None]
+                if not ids:
+                    joined[-1] = [joined[-1][0] + b" " + p, b""]
                 else:
                     joined.append([b" " + p, ids])
-            out.append(b"".join([self.fresh(p) if ids is None else ids for p, ids in joined]))
+            out.append(b"".join([ids or self.fresh(p) for p, ids in joined]))
         return out
 
 
