@@ -68,6 +68,8 @@ def word_count(text: Column) -> Column:
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal table, built by the JVM alone (numbers and plain strings)."""
+    if len(rows) > 2000:
+        return spark.createDataFrame(rows, schema)
     names = [part.split()[0] for part in schema.split(",")]
     types = [part.split()[1] for part in schema.split(",")]
 
