@@ -49,21 +49,22 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 def queue(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``columns`` of every document, with size, source_size, target and start (the source's words before it in its shuffled order)."""
-    spark = docs.sparkSession
-    text = text_or_empty()
-    sized = materialize(
-        docs.select(*columns, F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("order"), F.crc32(text.cast("binary")).alias("tie"))
-        .withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))),
-        "mix-sizes",
-    )
-    sized = sized.withColumn("bucket", F.shiftright("order", 64 - BUCKETS.bit_length() + 1).cast("int"))
+    text, source = text_or_empty(), F.col("source").cast("string")
+    keys = [
+        source.alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("order"), F.crc32(text.cast("binary")).alias("tie"),
+        F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"),
+    ]
+    bucket = F.shiftright("order", 64 - BUCKETS.bit_length() + 1).cast("int")
+    # Sums read a table of keys; further columns pass the windows once and are never stored on the way.
+    sized = materialize(docs.select("doc_id", *keys), "mix-sizes").withColumn("bucket", bucket)
+    rows = sized if columns == ["doc_id"] else docs.select(*columns, *keys).withColumn("bucket", bucket)
     targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
     few = targets.count() <= BROADCAST_SOURCES
     ranges = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select("skey", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
     inner = W.partitionBy("skey", "bucket").orderBy("order", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["skey", "bucket"])
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["skey", "bucket"])
     placed = placed.withColumn("start", F.col("base") + F.col("inside"))
     return placed.join(F.broadcast(targets) if few else targets, "skey").drop("base", "inside", "bucket", "tie", "skey")
 
