@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, release, text_or_empty
 
 SEED, RADIUS = 42, 3
-SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 16_384, 256, 6
+SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 256, 6
 BANDS, ROWS, SKETCH, SIMILAR_RADIUS, GROUP_BLOCK = 6, 2, 256, 18, 8192
 
 
