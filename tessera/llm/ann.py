@@ -8,8 +8,11 @@ current k-th distance is tested from the partial distance, ``partial * dims / se
 and those that fail are abandoned. The survivors' inner products are computed exactly, in double
 precision, on the original vectors.
 
-Centroids are fitted on at most ``FIT_ROWS`` vectors in hash order of their id; every vector is indexed. A
-query probes its ``PROBES`` nearest lists, and more until they hold enough candidates. Equal vectors
+Centroids are fitted on at most ``FIT_ROWS`` vectors in hash order of their id; every vector is indexed. How many
+of its nearest lists a query probes is measured on the table itself: ``MEASURED`` queries are compared with all
+vectors, and the least number of lists is taken that holds ``FOUND`` of their true neighbours (vectors without
+clusters need over half of all lists, whatever the size). Where these hold too few candidates, a query
+probes more. Equal vectors
 are one class: only the k + 1 smallest ids of a class can be among anyone's k nearest, so the others
 leave before the index (an exact reduction). Lists are cut into units of ``UNIT_ROWS`` vectors and ``UNIT_QUERIES``
 queries, so no task holds a list, however large.
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 TOP, QUERY_EVERY = 20, 20
-FIT_ROWS, FIT_STEPS, MAX_LISTS, PROBES = 20_000, 8, 4096, 24
+FIT_ROWS, FIT_STEPS, MAX_LISTS = 20_000, 8, 4096
 BLOCK_DIMS, EPSILON, UNIT_ROWS, UNIT_QUERIES, SEED = 16, 2.1, 8192, 2048, 42
+#: Share of the true neighbours that must lie in the probed lists, and the queries that it is measured on.
+FOUND, MEASURED = 0.97, 256
 #: Tables of up to so many vectors are one list.
 SMALL = 1000
 
@@ -107,8 +112,37 @@ def scan(queries: np.ndarray, owners: np.ndarray, vectors: np.ndarray, ids: np.n
     return out
 
 
-def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, probes: int = PROBES, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``top`` nearest found. Queries: ids divisible by ``query_every``."""
+def probes_needed(placed: DataFrame, asked: DataFrame, centres: np.ndarray, top: int) -> int:
+    """Least number of nearest lists that holds ``FOUND`` of the true neighbours of a sample of the queries."""
+    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(MEASURED).select("vec_id", "vector").toArrow()
+    if not sample.num_rows:
+        return 1
+    owners, queries = sample["vec_id"].to_numpy(), matrix(sample["vector"].combine_chunks())
+
+    def best(batches):
+        scores, lists = np.empty((len(owners), 0)), np.empty((len(owners), 0), np.int32)
+        for batch in batches:
+            s = queries @ matrix(batch.column(2)).T
+            s[owners[:, None] == batch.column(1).to_numpy()[None, :]] = -np.inf
+            scores = np.concatenate([scores, s], axis=1)
+            lists = np.concatenate([lists, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], axis=1)
+            if scores.shape[1] > top:
+                at = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+                scores, lists = np.take_along_axis(scores, at, 1), np.take_along_axis(lists, at, 1)
+        row, at = np.nonzero(scores > -np.inf)
+        yield pa.record_batch([pa.array(row.astype(np.int32)), pa.array(lists[row, at], pa.int32()), pa.array(scores[row, at])], ["row", "list", "score"])
+
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "list"))
+    true = placed.select("list", "vec_id", "vector").mapInArrow(best, "row int, list int, score double").withColumn("rank", rank).where(F.col("rank") <= top).select("row", "list").toArrow()
+    if not true.num_rows:
+        return 1
+    order = nearest(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1), centres, len(centres))
+    place = np.argsort(order, axis=1)[true["row"].to_numpy(), true["list"].to_numpy()]
+    return int(np.sort(place)[int(np.ceil(FOUND * len(place))) - 1]) + 1
+
+
+def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, probes: int | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: each query's ``top`` nearest found. Queries: ids divisible by ``query_every``. probes: measured where None."""
     spark = table.sparkSession
     usable = clean_vectors(table, key, column)
     sizes = usable.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -124,7 +158,7 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
     rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0]
     sample = kept.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     sample = lift(matrix(sample), norm)
-    lists = 1 if count <= SMALL else int(min(MAX_LISTS, max(2, round(np.sqrt(count))), len(sample)))
+    lists = 1 if count <= SMALL else int(min(MAX_LISTS, max(2, round(np.sqrt(count) / 4)), len(sample)))
     centres = kmeans(sample, lists, FIT_STEPS, rng) if lists > 1 else sample.mean(axis=0, keepdims=True)
 
     def assign(batches):
@@ -134,6 +168,9 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
             yield pa.record_batch([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], ["list", "vec_id", "vector"])
 
     placed = materialize(kept.mapInArrow(assign, "list int, vec_id long, vector array<double>"), "ann-lists")
+    queries = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    if probes is None:
+        probes = probes_needed(placed, queries, centres, top) if lists > 1 else 1
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():
         held[r.list] = r["count"]
@@ -153,7 +190,7 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
             yield pa.record_batch([pa.array(to, pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64()))], ["list", "vec_id", "vector"])
 
     # Queries keep every copy of a vector: each is asked for on its own id.
-    asked = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(probe, "list int, vec_id long, vector array<double>")
+    asked = queries.mapInArrow(probe, "list int, vec_id long, vector array<double>")
     asked = materialize(asked, "ann-probes")
     wanted = np.zeros(lists, np.int64)
     for r in asked.groupBy("list").count().collect():

@@ -57,6 +57,16 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_recall_without_clusters(spark):
+    x = np.random.default_rng(2).standard_normal((6000, 64)).astype(np.float32)
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    s = x[::20].astype(float) @ x.T.astype(float)
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    found = got.groupby("query_id").vec_id.agg(set)
+    assert sum(len(found[20 * i] & set(b)) for i, b in enumerate(best.tolist())) / (20 * 300) >= 0.9
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
