@@ -17,8 +17,8 @@ A shard can't be flooded: a ball of radius 3 has 43,745 fingerprints at most, an
 fingerprints differ in about 10 of 64 bits, up to 16, while unrelated ones lie at 32 +- 4: with such a
 radius the triangle bound prunes nothing, and any metric tree degenerates to all pairs. There, points are first
 partitioned by pairs of min-wise shingles (``BANDS`` of them; a pair at 0.8 shares one with probability
-0.998), the tree works inside the partitions, and a bottom-``SKETCH`` sketch, exact for sets of up to as
-many shingles, confirms the similarity. Oversized partitions are compared as pairs of blocks.
+0.998), the tree works inside the partitions, and the whole shingle sets confirm the similarity. Partitions of over
+``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
 
 Defined results: null texts and texts without words have fingerprint zero and are linked with each other;
 equal texts are always linked; an empty table gives an empty table; further columns are not read.
@@ -39,7 +39,7 @@ from tessera.llm.common import materialize, release, text_or_empty
 
 SEED, RADIUS = 42, 3
 SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 256, 6
-BANDS, ROWS, SKETCH, SIMILAR_RADIUS, GROUP_BLOCK = 6, 2, 256, 18, 8192
+BANDS, ROWS, SIMILAR_RADIUS, GROUP_BLOCK, GROUP_SHINGLES = 6, 2, 18, 8192, 1 << 22
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -248,10 +248,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature(text: bytes, width: int) -> tuple[bytes, int, int, bytes, list[int]]:
-    """(digest of the text, fingerprint, set size, sketch, band keys)."""
+    """(digest of the text, fingerprint, set size, set, band keys)."""
     hashes = shingle_hashes(text, width)
     print_, distinct = fingerprint(hashes), np.unique(hashes)
-    sketch = distinct[:SKETCH].astype("<u8").tobytes()
     bands = []
     if len(distinct):
         rng = np.random.default_rng(SEED)
@@ -260,7 +259,7 @@ def signature(text: bytes, width: int) -> tuple[bytes, int, int, bytes, list[int
         for b in range(BANDS):
             key = b"".join(x.to_bytes(8, "little") for x in least[b * ROWS : (b + 1) * ROWS]) + bytes([b])
             bands.append(xxhash.xxh64_intdigest(key, SEED) - (1 << 63))
-    return hashlib.md5(text).digest(), print_, len(distinct), sketch, bands
+    return hashlib.md5(text).digest(), print_, len(distinct), distinct.astype("<u8").tobytes(), bands
 
 
 def signature_table(docs: DataFrame, width: int) -> DataFrame:
@@ -269,31 +268,27 @@ def signature_table(docs: DataFrame, width: int) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 got = [signature(t.as_py(), width) for t in part.column(1)]
-                digest, fp, n, sketch, bands = zip(*got)
+                digest, fp, n, held, bands = zip(*got)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "fp", "n", "sketch", "bands"],
+                    [part.column(0), pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(held, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "fp", "n", "shingles", "bands"],
                 )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, digest binary, fp long, n long, sketch binary, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, digest binary, fp long, n long, shingles binary, bands array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray, n: int, m: int, least: float) -> bool:
-    """Jaccard similarity of two sets by their sketches, exact where both are whole."""
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches ``least``."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    if n <= SKETCH and m <= SKETCH:
-        return both >= least * (n + m - both)
-    edge = np.union1d(a, b)[:SKETCH]
-    held = len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), edge, assume_unique=True))
-    return held >= least * len(edge)
+    return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def group_links(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], least: float) -> list[tuple[int, int]]:
+def group_links(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, held: list[bytes], least: float) -> list[tuple[int, int]]:
     """Stars of the components in one partition."""
     order = np.argsort(ids, kind="stable")
-    ids, fps, sizes, sketches = ids[order], fps[order], sizes[order], [sketches[i] for i in order]
-    sets = [np.frombuffer(s, "<u8") for s in sketches]
+    ids, fps, sizes = ids[order], fps[order], sizes[order]
+    sets = [np.frombuffer(held[i], "<u8") for i in order]
     label = np.arange(len(ids))
 
     def find(x: int) -> int:
@@ -306,7 +301,7 @@ def group_links(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sketches: l
         near = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
         for x, y in zip(i[near].tolist(), j[near].tolist()):
             p, q = find(x), find(y)
-            if p != q and similar(sets[x], sets[y], sizes[x], sizes[y], least):
+            if p != q and similar(sets[x], sets[y], least):
                 label[max(p, q)] = min(p, q)
     return [(int(ids[x]), int(ids[find(x)])) for x in range(len(ids)) if find(x) != x]
 
@@ -316,16 +311,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     signed = materialize(signature_table(docs, width), "signatures")
     first = signed.withColumn("copy", F.row_number().over(W.partitionBy("digest").orderBy("doc_id"))).where("copy = 1").drop("copy")
     points = materialize(first, "signature-points")
-    banded = points.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    blocks = F.ceil(F.col("held") / GROUP_BLOCK).cast("int")
+    banded = points.select("doc_id", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles")).where("held > 1")
+    blocks = F.least(F.col("held"), F.ceil(F.greatest(F.col("held") / GROUP_BLOCK, F.col("shingles") / GROUP_SHINGLES))).cast("int")
     asked = banded.join(shared, "band").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     asked = asked.select("doc_id", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     asked = asked.select("doc_id", "band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    carried = asked.join(points.select("doc_id", "fp", "n", "sketch"), "doc_id")
+    carried = asked.join(points.select("doc_id", "fp", "n", "shingles"), "doc_id")
 
     def link(table: pa.Table) -> pa.Table:
-        got = group_links(table["doc_id"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["sketch"].to_pylist(), similarity)
+        got = group_links(table["doc_id"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["shingles"].to_pylist(), similarity)
         return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], schema=STAR)
 
     stars = connected(carried.groupBy("band", "a", "b").applyInArrow(link, "u long, v long"))

@@ -177,6 +177,17 @@ def test_near_duplicates(spark):
     assert kept == {*range(12), 300, 302}
 
 
+def test_near_duplicates_of_long_texts(spark):
+    base = [f"w{i}" for i in range(2000)]
+    cut = lambda n: " ".join([*base[:n], *[f"v{n}.{i}" for i in range(2000 - n)]])
+    # n - 4 of 3,996 - n shingles are shared: 0.78 to 0.82.
+    for n in range(1750, 1806, 5):
+        true = (n - 4) / (2 * 1996 - (n - 4)) >= 0.8
+        a, b = (np.unique(simhash.shingle_hashes(x.encode(), 5)) for x in (cut(2000), cut(n)))
+        links = simhash.group_links(np.array([1, 2]), np.zeros(2, np.uint64), np.array([len(a), len(b)]), [simhash.signature(cut(x).encode(), 5)[3] for x in (2000, n)], 0.8)
+        assert bool(links) == true
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12?x#y", "https://example.org", None, "no scheme", "http://badexample.org/es/", "x://com/de/", "http://m.a.com/fr/?q", "http://[::1]/", "a://b://c/d", "https://EXAMPLE.org/es/"]
     rows = [(i, u, "clash") for i, u in enumerate([*urls, urls[0]])]
