@@ -14,11 +14,12 @@ all pairs. Stars of all shards are joined by alternating large-star and small-st
 A shard can't be flooded: a ball of radius 3 has 43,745 fingerprints at most, and wider sets are split.
 
 ``near_duplicates`` finds texts with a given Jaccard similarity of shingle sets. At similarity 0.8 two
-fingerprints differ in about 10 of 64 bits, up to 16, while unrelated ones lie at 32 +- 4: with such a
-radius the triangle bound prunes nothing, and any metric tree degenerates to all pairs. There, points are first
+fingerprints differ in about 10 of 64 bits, and no radius holds all such pairs (more so where lines repeat), while
+unrelated ones lie at 32 +- 4: the triangle bound prunes nothing there. Points are
 partitioned by pairs of min-wise shingles (``BANDS`` of them; a pair at 0.8 shares one with probability
-0.998), the tree works inside the partitions, and the whole shingle sets confirm the similarity. Partitions of over
-``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
+0.998). In a partition, every pair that can reach the similarity by size and by its rarest shingles (an exact prefix
+filter) is decided on the whole shingle sets; fingerprints of the distinct shingles only say which pairs are tried first.
+Partitions of over ``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
 
 Defined results: null texts and texts without words have fingerprint zero and are linked with each other;
 equal texts are always linked; an empty table gives an empty table; further columns are not read.
@@ -39,7 +40,7 @@ from tessera.llm.common import materialize, release, text_or_empty
 
 SEED, RADIUS = 42, 3
 SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 256, 6
-BANDS, ROWS, SIMILAR_RADIUS, GROUP_BLOCK, GROUP_SHINGLES = 6, 2, 18, 8192, 1 << 22
+BANDS, ROWS, GROUP_BLOCK, GROUP_SHINGLES, FEW = 6, 2, 8192, 1 << 22, 8
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -250,7 +251,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signature(text: bytes, width: int) -> tuple[bytes, int, int, bytes, list[int]]:
     """(digest of the text, fingerprint, set size, set, band keys)."""
     hashes = shingle_hashes(text, width)
-    print_, distinct = fingerprint(hashes), np.unique(hashes)
+    distinct = np.unique(hashes)
+    print_ = fingerprint(distinct)
     bands = []
     if len(distinct):
         rng = np.random.default_rng(SEED)
@@ -286,24 +288,67 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def group_links(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, held: list[bytes], least: float) -> list[tuple[int, int]]:
     """Stars of the components in one partition."""
-    order = np.argsort(ids, kind="stable")
-    ids, fps, sizes = ids[order], fps[order], sizes[order]
-    sets = [np.frombuffer(held[i], "<u8") for i in order]
-    label = np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for i, j in pair_blocks(fps, SIMILAR_RADIUS):
-        near = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
-        for x, y in zip(i[near].tolist(), j[near].tolist()):
-            p, q = find(x), find(y)
-            if p != q and similar(sets[x], sets[y], least):
-                label[max(p, q)] = min(p, q)
-    return [(int(ids[x]), int(ids[find(x)])) for x in range(len(ids)) if find(x) != x]
+    first: dict[bytes, int] = {}
+    out, rows = [], []
+    for i in np.lexsort((ids, sizes)).tolist():
+        at = first.setdefault(held[i], i)
+        if at == i:
+            rows.append(i)
+        elif ids[at] != ids[i]:
+            out.append((int(ids[i]), int(ids[at])))
+    ids, fps, sizes = ids[rows], fps[rows], sizes[rows]
+    sets = [np.frombuffer(held[i], "<u8") for i in rows]
+    label = np.arange(len(rows))
+    for x, y in (few_pairs if len(rows) <= FEW else similar_pairs)(sets, sizes, fps, least, label):
+        low, high = sorted((label[x], label[y]))
+        label[label == high] = low
+    return out + [(int(ids[x]), int(ids[label[x]])) for x in np.flatnonzero(label != np.arange(len(rows)))]
+
+
+def few_pairs(sets, sizes, fps, least, label) -> Iterator[tuple[int, int]]:
+    """Similar pairs that have different labels when they are met."""
+    for y in range(len(sets)):
+        for x in range(y):
+            if label[x] != label[y] and sizes[x] >= least * sizes[y] - 1e-9 and similar(sets[x], sets[y], least):
+                yield x, y
+
+
+def similar_pairs(sets, sizes, fps, least, label) -> Iterator[tuple[int, int]]:
+    """The same for many sets, in ascending order of size: similar ones share one of their rarest shingles."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rarity[token]
+    heads = [np.sort(token[a:b])[: b - a - int(np.ceil(least * (b - a) - 1e-9)) + 1] for a, b in zip(starts, ends)]
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    flat = np.concatenate(heads)
+    order = np.argsort(flat, kind="stable")
+    owner = owner[order]
+    edges = np.searchsorted(flat[order], np.arange(len(count) + 1))
+    seen, mark = np.zeros(len(sets), bool), np.zeros(len(count), bool)
+    for y in range(1, len(sets)):
+        low = int(np.searchsorted(sizes, least * sizes[y] - 1e-9))
+        head = heads[y][edges[heads[y] + 1] - edges[heads[y]] > 1]
+        if low >= y or not len(head):
+            continue
+        for a, b in zip(edges[head].tolist(), edges[head + 1].tolist()):
+            seen[owner[a:b]] = True
+        near = np.flatnonzero(seen[low:y]) + low
+        seen[:] = False
+        near = near[label[near] != label[y]]
+        near = near[np.argsort(np.bitwise_count(fps[near] ^ fps[y]), kind="stable")]
+        mark[token[starts[y] : ends[y]]] = True
+        while len(near):
+            for at, x in enumerate(near.tolist()):
+                both = np.count_nonzero(mark[token[starts[x] : ends[x]]])
+                if both >= least * (sizes[x] + sizes[y] - both) - 1e-9:
+                    yield x, y
+                    break
+            near = near[at + 1 :]
+            near = near[label[near] != label[y]]
+        mark[token[starts[y] : ends[y]]] = False
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -188,6 +188,32 @@ def test_near_duplicates_of_long_texts(spark):
         assert bool(links) == true
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(30):
+        body, line = (" ".join(f"w{x}" for x in rng.integers(0, 50_000, n)) for n in (300, 12))
+        rows += [(i, f"{body} {line}"), (100 + i, " ".join([body, *[line] * 40]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(range(30))
+
+
+def test_group_links():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(40):
+        base = rng.choice(400, 60, replace=False)
+        sets += [np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(400, 460, rng.integers(1, 8))])).astype(np.uint64) for _ in range(6)]
+    sets += [sets[0], sets[0]]
+    n = len(sets)
+    share = lambda x, y: len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y]))
+    pairs = np.array([(x, y) for x in range(n) for y in range(x) if share(x, y) >= 0.8])
+    want = simhash.merge_labels(np.arange(n), pairs[:, 0], pairs[:, 1])
+    links = simhash.group_links(np.arange(n), rng.integers(0, 2**63, n).astype(np.uint64), np.array([len(s) for s in sets]), [s.astype("<u8").tobytes() for s in sets], 0.8)
+    got = simhash.merge_labels(np.arange(n), *np.array(links).T)
+    assert got.tolist() == want.tolist() and 1 < len(set(want.tolist())) < n
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12?x#y", "https://example.org", None, "no scheme", "http://badexample.org/es/", "x://com/de/", "http://m.a.com/fr/?q", "http://[::1]/", "a://b://c/d", "https://EXAMPLE.org/es/"]
     rows = [(i, u, "clash") for i, u in enumerate([*urls, urls[0]])]
