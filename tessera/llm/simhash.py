@@ -21,7 +21,9 @@ partitioned by pairs of min-wise shingles (``BANDS`` of them; a pair at 0.8 shar
 filter) is decided on the whole shingle sets; fingerprints of the distinct shingles only say which pairs are tried first.
 Partitions of over ``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
 
-Defined results: null texts and texts without words have fingerprint zero and are linked with each other;
+Defined results: null texts and texts without words have fingerprint zero and are linked with each other, also in
+``near_duplicates`` and ``keep_one``, which know texts by their digest: a row goes only for its text, whatever its doc_id;
+null doc_ids count as the largest;
 equal texts are always linked; an empty table gives an empty table; further columns are not read.
 """
 
@@ -41,6 +43,8 @@ from tessera.llm.common import materialize, release, text_or_empty
 SEED, RADIUS = 42, 3
 SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 256, 6
 BANDS, ROWS, GROUP_BLOCK, GROUP_SHINGLES, FEW = 6, 2, 8192, 1 << 22, 8
+#: Up to so many texts with a partner are told to the readers of the shingle sets, so that the others' sets stay where they are.
+BROADCAST_NODES = 2_000_000
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -351,33 +355,47 @@ def similar_pairs(sets, sizes, fps, least, label) -> Iterator[tuple[int, int]]:
         mark[token[starts[y] : ends[y]]] = False
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id for every document: the smallest doc_id of its group."""
-    signed = materialize(signature_table(docs, width), "signatures")
-    first = signed.withColumn("copy", F.row_number().over(W.partitionBy("digest").orderBy("doc_id"))).where("copy = 1").drop("copy")
-    points = materialize(first, "signature-points")
-    banded = points.select("doc_id", "n", F.explode("bands").alias("band"))
+def similar_texts(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, same and more of every document; same, first, root of every text). Texts of one root are one group."""
+    same = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.lit(b""))
+    signed = materialize(signature_table(docs, width).withColumn("node", F.monotonically_increasing_id()).withColumn("same", same), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "node")
+    points = materialize(signed.groupBy("same").agg(F.min(first).alias("first")), "signature-points")
+    nodes = signed.join(points.select(F.col("first.node").alias("node")), "node", "left_semi")
+    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles")).where("held > 1")
     blocks = F.least(F.col("held"), F.ceil(F.greatest(F.col("held") / GROUP_BLOCK, F.col("shingles") / GROUP_SHINGLES))).cast("int")
-    asked = banded.join(shared, "band").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    asked = asked.select("doc_id", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    asked = asked.select("doc_id", "band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    carried = asked.join(points.select("doc_id", "fp", "n", "shingles"), "doc_id")
+    asked = banded.join(shared.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    asked = asked.select("node", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    asked = asked.select("node", "band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    asked = materialize(asked, "signature-partitions")
+    needed = asked.select("node").distinct()
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
+    carried = asked.join(signed.select("node", "fp", "n", "shingles").join(needed, "node", "left_semi"), "node")
 
     def link(table: pa.Table) -> pa.Table:
-        got = group_links(table["doc_id"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["shingles"].to_pylist(), similarity)
+        got = group_links(table["node"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["shingles"].to_pylist(), similarity)
         return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], schema=STAR)
 
     stars = connected(carried.groupBy("band", "a", "b").applyInArrow(link, "u long, v long"))
-    owner = points.select("digest", "doc_id").join(stars.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left")
-    owner = owner.select("digest", F.coalesce("root", "doc_id").alias("component_id"))
-    return signed.select("doc_id", "digest").join(owner, "digest").select("doc_id", "component_id")
+    rooted = points.withColumn("node", F.col("first.node")).join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    return signed, rooted.select("same", "first", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every document: the smallest doc_id of its group."""
+    signed, rooted = similar_texts(docs, width, similarity)
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return signed.join(rooted.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the document with the smallest doc_id stays, once."""
-    found = near_duplicates(docs, width, similarity)
-    kept = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").take(1)
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The rows of ``docs`` without near duplicates: of each group one stays, that with the smallest doc_id (then digest of the text)."""
+    signed, rooted = similar_texts(docs, width, similarity)
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    kept = materialize(least.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest")), "kept-ids")
+    rows = docs.withColumn("_digest", F.unhex(F.md5(text_or_empty().cast("binary"))))
+    out = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    repeated = signed.groupBy("doc_id", "digest").count().where("count > 1").take(1)
+    release(signed)
+    return (out.dropDuplicates(["doc_id", "_digest"]) if repeated else out).select(*docs.columns)

@@ -214,6 +214,15 @@ def test_group_links():
     assert got.tolist() == want.tolist() and 1 < len(set(want.tolist())) < n
 
 
+def test_keep_one_goes_by_text(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 50_000, 60)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b + " more"), (None, c), (None, d), (None, d), (3, d + " more"), (4, " "), (5, "\t \n"), (6, a), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (3, d + " more"), (4, " ")], key=str)
+
+
 def test_urls(spark):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12?x#y", "https://example.org", None, "no scheme", "http://badexample.org/es/", "x://com/de/", "http://m.a.com/fr/?q", "http://[::1]/", "a://b://c/d", "https://EXAMPLE.org/es/"]
     rows = [(i, u, "clash") for i, u in enumerate([*urls, urls[0]])]
