@@ -1,191 +1,273 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 Tokens: words (A-Z lower-cased, maximal runs without space and the code points 9 to 13), then one end per text.
-The ``OUTPUTS - 2`` most frequent words, the end and one slot for all other words are the model's outputs, in
-classes of ``MEMBERS`` slots by falling frequency: p(w | h) = p(class | h) p(w | class, h). Features of a history are
-hashed into ``ROWS`` weight rows: a bias, the word before (n-gram), the word before that (skip) and
-both (n-gram); words beyond the most frequent stand in a history by a hash of their ending. A word of the
-shared slot gets that slot's probability times its share of the slot under the corpus counts, so the
-model is a distribution over all words, with the unseen ones' mass of the base model.
-
-Training covers every training text (crc32 of doc_id as text is not 1 modulo 5). Histories have ``HISTORIES`` values,
-so one pass over the texts counts (history, output) exactly. The bias starts at the outputs' own frequencies, then
-``STEPS`` gradient updates follow: tasks add up observed minus expected counts (the gradient) and expected counts of
-their part of the table; the driver sums them and takes the step in its iterative-scaling form, which moves a weight by
-the logarithm of observed over expected counts, both eased by ``RIDGE``. Scoring looks tokens up in the model's
-log-probability table, in numpy batches.
-
-Base score: counts of all words over all training texts. The vocabulary grows with the corpus, so it is never
-broadcast or collected: texts are dealt to blocks, each block asks for its distinct words, the answers are
-joined and meet the block's texts again.
-
-Defined results: a null text is an empty one (one end token); without training texts all tokens are unseen; an empty
-table gives an empty table; rows may repeat; further columns are not read.
+Every word has one of ``SLOTS`` member slots: the ``TOP`` most frequent words one of their own, all others one that their
+spelling names, unseen words the last. Slots lie in nested classes of ``FAN``: p(word | h) is the product of a softmax over
+``FAN`` classes, one over the ``FAN`` classes inside, one over the ``FAN`` slots in that, and the word's part of its slot under
+the corpus counts. Without weights that product is the base model, so the model is a distribution over all words and
+the unseen one.
+
+Features of a history are hashed together with the class they speak about into weight rows of ``FAN`` numbers: the word
+before (n-gram), the word before that (skip), both as they are spelt (n-gram). There is a row for every ``TOKENS_PER_ROW``
+training tokens, between ``LEAST_BITS`` and ``MOST_BITS`` bits of them: a worker holds all weights (16 MB at most).
+
+Training takes every training text (crc32 of doc_id as text is not 1 modulo 5) once, in ``ROUNDS`` distributed gradient updates.
+All tasks add up observed and expected counts per row over their texts of the round; the sums meet by ranges of
+rows, and a weight moves by ``RATE`` times the logarithm of observed over expected counts (the gradient, scaled by its curvature),
+both eased by ``RIDGE``. Scoring gathers the few rows of each token in numpy batches.
+
+Base score: counts of all words over all training texts. The vocabulary grows with the corpus, so it is never broadcast or
+collected: texts are dealt to blocks of about ``BLOCK_BYTES``, each block asks for its distinct words, the answers are joined and
+meet the block's texts again. A block's size does not depend on the table's or the cluster's.
+
+Defined results: a null text is an empty one (one end token); a null doc_id is not held out; without training texts all tokens
+are unseen; an empty table gives an empty table; rows may repeat; further columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import materialize, release, text_or_empty
 
-CLASSES, MEMBERS = 16, 32
-OUTPUTS = CLASSES * MEMBERS
-NEAR, FAR = 128, 32
-HISTORIES = NEAR * FAR
-ROWS, FEATURES, STEPS, RATE, RIDGE, PARTS = 1024, 4, 8, 0.35, 4.0, 4
-#: Words that a history tells apart, one and two places back; the last code of each is the text's start.
-NEAR_WORDS, FAR_WORDS = 96, 16
-END, REST = b"", OUTPUTS - 1
-CACHE_WORDS = 400_000
+FAN, LEVELS = 16, 3
+SLOTS = FAN**LEVELS
+TOP, UNSEEN, START = 3072, SLOTS - 1, SLOTS
+NODES = [0, 1, 1 + FAN]
+#: Features of each level: 0 the word before, 1 the word before that, 2 both.
+USED = [(0, 1, 2), (0, 1, 2), (0, 2)]
+ROUNDS, RATE, RIDGE, STEEPEST = 4, 0.6, 4.0, 20.0
+TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 256, 16, 18
+BLOCK_BYTES, TASK_BYTES, PARTS = 8 << 20, 512 << 20, 16
+END = b""
+CACHE_WORDS, CHUNK = 400_000, 1 << 13
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def codes_of(word: bytes, rank: int) -> tuple[int, int]:
-    """How a history shows a word, one and two places back. rank: place among the most frequent, from 0."""
-    ending = zlib.crc32(word[-2:] + bytes([not word.isascii()]))
-    near = rank if rank < NEAR_WORDS else NEAR_WORDS + ending % (NEAR - NEAR_WORDS - 1)
-    return near, (rank if rank < FAR_WORDS else FAR_WORDS + ending % (FAR - FAR_WORDS - 1))
+def spelt_slot(word: bytes) -> int:
+    """Slot of a word that has none of its own: by its ending, then by its first byte and length."""
+    slot = TOP + zlib.crc32(word[-2:]) % 32 * 32 + zlib.crc32(word[:1] + bytes([min(len(word) // 3, 7)])) % 32
+    return min(slot, UNSEEN - 1)
 
 
 class Vocabulary(dict):
-    """word -> output * NEAR * FAR + near * FAR + far, made when asked for."""
+    """word -> slot << 32 | hash, made when asked for."""
 
     def __init__(self, top: list[bytes]):
         super().__init__()
         self.rank = {w: i for i, w in enumerate(top)}
 
     def __missing__(self, word: bytes) -> int:
-        rank = self.rank.get(word, OUTPUTS)
-        near, far = codes_of(word, rank)
-        code = (min(rank, REST) * NEAR + near) * FAR + far
+        slot = self.rank.get(word)
+        code = (spelt_slot(word) if slot is None else slot) << 32 | zlib.crc32(word)
         if len(self) > CACHE_WORDS:
             self.clear()
         self[word] = code
         return code
 
 
-def histories(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, output) of every token. codes: all texts' tokens, the last of each text at ``ends``."""
-    output, near, far = codes // (NEAR * FAR), codes // FAR % NEAR, codes % FAR
+def histories(codes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The three features of every token. codes: all texts' tokens, the last of each text at ``ends``."""
     first = np.zeros(len(codes), bool)
-    first[0], first[ends[:-1] + 1] = True, True
+    first[0] = True
+    first[ends[:-1] + 1] = True
     second = np.roll(first, 1)
     second[0] = False
-    one = np.where(first, NEAR - 1, np.roll(near, 1))
-    two = np.where(first | second, FAR - 1, np.roll(far, 2))
-    return one * FAR + two, output
+    one = np.where(first, START << 32, np.roll(codes, 1)).astype(np.uint64)
+    two = np.where(first | second, START << 32, np.roll(codes, 2)).astype(np.uint64)
+    half = np.uint64(32)
+    return [one >> half, two >> half, (one * ODD[0]) ^ (two * ODD[1])]
+
+
+def rows_of(feature: np.ndarray, kind: int, node: np.ndarray, bits: int) -> np.ndarray:
+    """Weight rows of a feature at class ``node``: the first half for the word before, a quarter for each of the others."""
+    mixed = (feature * ODD[0] + node.astype(np.uint64) * ODD[1] + np.uint64(kind)) * ODD[2]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= ODD[0]
+    low = bits - 1 if kind == 0 else bits - 2
+    base = (0, 2, 3)[kind] << (bits - 2)
+    return (mixed >> np.uint64(64 - low)).astype(np.int64) + base
+
+
+def log_priors(mass: np.ndarray) -> np.ndarray:
+    """Natural log of each class's part of the one around it: a row for each node."""
+    out = []
+    for level in range(LEVELS):
+        held = mass.reshape(FAN**level, FAN, -1).sum(axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(held > 0, np.log(held / held.sum(axis=1, keepdims=True)), -np.inf))
+    return np.concatenate(out).astype(np.float32)
+
+
+def path(slot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(node, digit) of a slot at each level."""
+    return [(NODES[level] + slot // FAN ** (LEVELS - level), slot // FAN ** (LEVELS - 1 - level) % FAN) for level in range(LEVELS)]
+
+
+@dataclass
+class Model:
+    top: list[bytes]
+    #: Eased corpus counts of each slot.
+    mass: np.ndarray
+    weights: np.ndarray
+    total: int
+    kinds: int
+
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
+
+    @property
+    def whole(self) -> float:
+        return self.total + 0.5 * (self.kinds + 1)
+
+
+def logits_of(rows: dict[int, np.ndarray], node: np.ndarray, weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    logits = priors.take(node, axis=0)
+    for r in rows.values():
+        logits += weights.take(r, axis=0)
+    return logits
+
+
+def slot_logs(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    """Natural log of p(slot | history) of every token."""
+    bits, out, ones = len(weights).bit_length() - 1, np.zeros(len(slot)), np.ones(FAN, np.float32)
+    for a in range(0, len(slot), CHUNK):
+        part, to = slice(a, a + CHUNK), slot[a : a + CHUNK]
+        for level, (node, digit) in enumerate(path(to)):
+            logits = logits_of({k: rows_of(features[k][part], k, node, bits) for k in USED[level]}, node, weights, priors)
+            chosen = logits[np.arange(len(to)), digit]
+            np.exp(logits, out=logits)
+            out[part] += chosen - np.log(logits @ ones)
+    return out
 
 
-def coded(texts: list[bytes], vocabulary: Vocabulary, end: int) -> tuple[np.ndarray, np.ndarray]:
+def add_counts(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray, priors: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the tokens' observed and expected counts per weight."""
+    bits, ones, outputs = len(weights).bit_length() - 1, np.ones(FAN, np.float32), np.arange(FAN)
+    observed, expected = observed.reshape(-1), expected.reshape(-1)
+    for a in range(0, len(slot), CHUNK):
+        part, to = slice(a, a + CHUNK), slot[a : a + CHUNK]
+        for level, (node, digit) in enumerate(path(to)):
+            rows = {k: rows_of(features[k][part], k, node, bits) for k in USED[level]}
+            p = logits_of(rows, node, weights, priors)
+            np.exp(p, out=p)
+            p /= (p @ ones)[:, None]
+            flat = p.reshape(-1)
+            for r in rows.values():
+                first = r * FAN
+                np.add.at(observed, first + digit, np.float32(1))
+                np.add.at(expected, (first[:, None] + outputs).reshape(-1), flat)
+
+
+def coded(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts' tokens, and the places of the texts' ends."""
     cut = [words_of(t) for t in texts]
-    look = vocabulary.__getitem__
-    flat: list[int] = []
+    look, flat = vocabulary.__getitem__, []
     for words in cut:
         flat.extend(map(look, words))
-        flat.append(end * NEAR * FAR)
+        flat.append(vocabulary[END])
     return np.array(flat, np.int64), np.cumsum([len(c) + 1 for c in cut]) - 1
 
 
-def feature_rows() -> np.ndarray:
-    """Weight rows of each history: HISTORIES x FEATURES."""
-    out = np.zeros((HISTORIES, FEATURES), np.int64)
-    for h in range(HISTORIES):
-        one, two = divmod(h, FAR)
-        for k, name in enumerate((f"1:{one}", f"2:{two}", f"12:{one},{two}"), 1):
-            out[h, k] = 1 + zlib.crc32(name.encode()) % (ROWS - 1)
-    return out
-
-
-def log_probabilities(weights: np.ndarray, used: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logs of p(class | history) and p(member | class, history). weights: ROWS x (CLASSES + OUTPUTS)."""
-    logits = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        logits = logits + weights[rows[:, k]]
-    open_classes = used.reshape(CLASSES, MEMBERS).any(axis=1)
-    c = np.where(open_classes, logits[:, :CLASSES], -np.inf)
-    m = np.where(used, logits[:, CLASSES:], -np.inf).reshape(len(rows), CLASSES, MEMBERS)
-    m = np.where(open_classes[None, :, None], m, 0.0)
-
-    def normal(x: np.ndarray) -> np.ndarray:
-        top = x.max(axis=-1, keepdims=True)
-        return x - top - np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
-
-    return normal(c), normal(m).reshape(len(rows), OUTPUTS)
-
-
-def residuals(history: np.ndarray, output: np.ndarray, n: np.ndarray, weights: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed minus expected counts, and expected counts, per weight, over a part of the count table."""
-    rows = feature_rows()
-    seen = np.zeros((HISTORIES, OUTPUTS))
-    np.add.at(seen, (history, output), n)
-    pc, pm = (np.exp(x) for x in log_probabilities(weights, used, rows))
-    by_class = seen.reshape(HISTORIES, CLASSES, MEMBERS).sum(axis=2)
-    total = by_class.sum(axis=1, keepdims=True)
-    expected = np.concatenate([total * pc, np.repeat(by_class, MEMBERS, axis=1) * np.where(used, pm, 0)], axis=1)
-    observed = np.concatenate([by_class, seen], axis=1)
-    off, base = np.zeros_like(weights), np.zeros_like(weights)
-    for k in range(FEATURES):
-        np.add.at(off, rows[:, k], observed - expected)
-        np.add.at(base, rows[:, k], expected)
-    return off, base
-
-
-def first_weights(frequency: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Zero but for the bias row, which gives the outputs' own frequencies."""
-    weights = np.zeros((ROWS, CLASSES + OUTPUTS))
-    eased = np.where(used, frequency + 0.5, 0.0).reshape(CLASSES, MEMBERS)
-    by_class = eased.sum(axis=1)
-    weights[0, :CLASSES] = np.log(np.maximum(by_class, 1e-9) / max(1e-9, by_class.sum()))
-    weights[0, CLASSES:] = np.log(np.maximum(eased, 1e-9) / np.maximum(by_class, 1e-9)[:, None]).ravel()
-    return weights
-
-
-def train(cells: DataFrame, used: np.ndarray) -> np.ndarray:
-    """Weights after ``STEPS`` updates over the (history, output, n) table."""
-    spark = cells.sparkSession
-    frequency = np.zeros(OUTPUTS)
-    for r in cells.groupBy("output").agg(F.sum("n").alias("n")).collect():
-        frequency[r.output] = r.n
-    weights = first_weights(frequency, used)
-    for _ in range(STEPS):
-        shared = spark.sparkContext.broadcast(weights.astype(np.float32))
-
-        def part(batches, shared=shared):
-            held = [b for b in batches if b.num_rows]
-            if held:
-                table = pa.Table.from_batches(held)
-                off, base = residuals(*[table[c].to_numpy() for c in ("history", "output", "n")], shared.value.astype(float), used)
-                yield pa.record_batch([pa.array([off.astype("<f4").tobytes()]), pa.array([base.astype("<f4").tobytes()])], ["off", "base"])
-
-        got = cells.coalesce(PARTS).mapInArrow(part, "off binary, base binary").collect()
+def shortened(x: np.ndarray) -> bytes:
+    """The upper halves of 32-bit floats: eight bits of precision do for a sum of counts on its way."""
+    return ((x.reshape(-1).view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def widened(x: bytes) -> np.ndarray:
+    return (np.frombuffer(x, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def grouped(column, most: int = 2 << 20):
+    """Lists of about ``most`` bytes of texts."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def train(texts: DataFrame, model: Model, size: int) -> np.ndarray:
+    """Weights after ``ROUNDS`` updates, each over its own part of ``texts`` (round, text). size: bytes of all texts."""
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    weights, priors, top = model.weights, log_priors(model.mass), model.top
+    # A table of few splits is dealt out; one of many is read where it lies.
+    deal = DataFrame.repartition if texts.rdd.getNumPartitions() < tasks else DataFrame.coalesce
+    span = len(weights) // PARTS
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((weights, priors, top))
+
+        def count(batches, shared=shared):
+            now, priors, top = shared.value
+            observed, expected, vocabulary, any_ = np.zeros_like(now), np.zeros_like(now), Vocabulary(top), False
+            for batch in batches:
+                for part in grouped(batch.column(0)):
+                    codes, ends = coded(part, vocabulary)
+                    add_counts(histories(codes, ends), codes >> 32, now, priors, observed, expected)
+                    any_ = True
+            if any_:
+                cut = [(i, shortened(observed[a : a + span]), shortened(expected[a : a + span])) for i, a in enumerate(range(0, len(now), span))]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cut), (pa.int32(), pa.binary(), pa.binary()))], ["part", "observed", "expected"])
+
+        def add(table: pa.Table) -> pa.Table:
+            sums = [np.zeros(span * FAN, np.float32), np.zeros(span * FAN, np.float32)]
+            for name, total in zip(("observed", "expected"), sums):
+                for x in table[name]:
+                    total += widened(x.as_py())
+            return pa.table([table["part"][:1], pa.array([sums[0].tobytes()], pa.binary()), pa.array([sums[1].tobytes()], pa.binary())], ["part", "observed", "expected"])
+
+        schema = "part int, observed binary, expected binary"
+        got = texts.where(F.col("round") == turn).select("text").transform(deal, tasks).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toArrow()
         shared.destroy()
-        if not got:
-            break
-        off, base = (sum(np.frombuffer(bytes(r[i]), "<f4").reshape(weights.shape).astype(float) for r in got) for i in (0, 1))
-        weights = weights + RATE * np.log(np.maximum(off + base + RIDGE, 1e-6) / (base + RIDGE))
+        weights = weights.copy()
+        for part, seen, meant in zip(got["part"].to_pylist(), got["observed"].to_pylist(), got["expected"].to_pylist()):
+            seen, meant = (np.frombuffer(x, np.float32).reshape(span, FAN) for x in (seen, meant))
+            weights[part * span : (part + 1) * span] += RATE * np.log((seen + RIDGE) / (meant + RIDGE))
+        np.clip(weights, -STEEPEST, STEEPEST, out=weights)
     return weights
 
 
 def held_out(key: str):
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+
+
+WORDS_HELD = 2_000_000
 
 
 def _block_words(batches):
-    """(block, word, n): the distinct words of each block with their number in training texts."""
+    """(block, word, n): the distinct words of each block with their number in training texts, in bounded memory."""
     seen: dict[int, Counter] = {}
+    size = 0
+
+    def out():
+        for block in list(seen):
+            counts = seen.pop(block)
+            words, numbers = list(counts), list(counts.values())
+            for a in range(0, len(words), 100_000):
+                part = words[a : a + 100_000]
+                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), pa.array(numbers[a : a + 100_000], pa.int64())], ["block", "word", "n"])
+
     for batch in batches:
         for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             counts = seen.setdefault(block, Counter())
+            before = len(counts)
             words = words_of(text.as_py())
             words.append(END)
             if held:
@@ -193,100 +275,103 @@ def _block_words(batches):
                     counts.setdefault(w, 0)
             else:
                 counts.update(words)
-    for block in list(seen):
-        counts = seen.pop(block)
-        words, numbers = list(counts), list(counts.values())
-        for a in range(0, len(words), 100_000):
-            part = words[a : a + 100_000]
-            yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), pa.array(numbers[a : a + 100_000], pa.int64())], ["block", "word", "n"])
+            size += len(counts) - before
+            if size > WORDS_HELD:
+                yield from out()
+                size = 0
+    yield from out()
+
 
+def slot_sums(known: DataFrame, top: list[bytes]) -> np.ndarray:
+    """Eased counts of each slot over the (word, c) table of known words."""
 
-def _count_cells(top: list[bytes], end: int):
     def run(batches):
-        vocabulary, seen = Vocabulary(top), np.zeros(HISTORIES * OUTPUTS, np.int32)
+        rank = {w: i for i, w in enumerate(top)}
+        mass = np.zeros(SLOTS)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                codes, ends = coded([t.as_py() for t in batch.column(0).slice(a, 1000)], vocabulary, end)
-                history, output = histories(codes, ends)
-                np.add.at(seen, history * OUTPUTS + output, 1)
-        at = np.flatnonzero(seen)
-        if len(at):
-            yield pa.record_batch([pa.array((at // OUTPUTS).astype(np.int32)), pa.array((at % OUTPUTS).astype(np.int32)), pa.array(seen[at].astype(np.int64))], ["history", "output", "n"])
+            slots = np.array([rank[w] if w in rank else spelt_slot(w) for w in batch.column(0).to_pylist()], np.int64)
+            mass += np.bincount(slots, batch.column(1).to_numpy() + 0.5, SLOTS)
+        at = np.flatnonzero(mass)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(mass[at])], ["slot", "mass"])
 
-    return run
+    mass = np.zeros(SLOTS)
+    for r in known.select("word", "c").mapInArrow(run, "slot int, mass double").groupBy("slot").agg(F.sum("mass").alias("mass")).collect():
+        mass[r.slot] = r.mass
+    mass[UNSEEN] = 0.5
+    return mass
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def dealt_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(doc_id, held_out, text, block, round of every document; bytes of all texts)."""
+    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), text_or_empty(text).cast("binary").alias("text"))
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    dealt = F.xxhash64("doc_id", F.crc32("text"))
+    return keyed.withColumns({"block": F.pmod(dealt, F.lit(blocks)).cast("int"), "round": F.pmod(F.shiftright(dealt, 40), F.lit(ROUNDS)).cast("int")}), size
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = text_or_empty(text).cast("binary")
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), body.alias("text")).withColumn("held_out", F.coalesce("held_out", F.lit(False)))
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)).cast("int"))
-    dealt = keyed.repartition(blocks, "block")
-    words = materialize(dealt.select("block", "held_out", "text").mapInArrow(_block_words, "block int, word binary, n long"), "lm-words")
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+def count_words(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, word, n; word, c): each block's distinct words, and all training texts' counts."""
+    words = materialize(keyed.repartition("block").select("block", "held_out", "text").mapInArrow(_block_words, "block int, word binary, n long"), "lm-words")
+    return words, materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+
+
+def fit(keyed: DataFrame, counts: DataFrame, size: int) -> Model:
     known = counts.where("c > 0")
     total, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = known.orderBy(F.desc("c"), "word").limit(OUTPUTS - 1).collect()
-    top = [bytes(r.word) for r in frequent]
+    top = [bytes(r.word) for r in known.orderBy(F.desc("c"), "word").limit(TOP).collect()]
     if total and END not in top:
-        top[-1:] = [END]
-    end = top.index(END) if END in top else REST
-    used = np.zeros(OUTPUTS, bool)
-    used[: len(top)], used[REST] = True, True
-    whole = total + 0.5 * (kinds + 1)
-    numbers = {bytes(r.word): r.c for r in frequent}
-    rest = max(1e-12, 1 - sum((numbers.get(w, 0) + 0.5) / whole for w in top))
-    cells = keyed.where(~F.col("held_out")).select("text").mapInArrow(_count_cells(top, end), "history int, output int, n long")
-    cells = materialize(cells.groupBy("history", "output").agg(F.sum("n").alias("n")), "lm-cells")
-    class_part, member_part = log_probabilities(train(cells, used), used, feature_rows())
-    table = (np.repeat(class_part, MEMBERS, axis=1) + member_part) / np.log(10)
-    shared = spark.sparkContext.broadcast(np.where(used, table, 0).astype(np.float32))
+        top[-1] = END
+    bits = int(np.clip(round(np.log2(max(1, total / TOKENS_PER_ROW))), LEAST_BITS, MOST_BITS))
+    model = Model(top, slot_sums(known, top), np.zeros((1 << bits, FAN), np.float32), total, kinds)
+    model.weights = train(keyed.where(~F.col("held_out")).select("round", "text"), model, size) if total else model.weights
+    return model
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score_texts(texts: list[bytes], number: dict[bytes, int], counts: np.ndarray, codes: np.ndarray, model: Model, priors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base score, score) of each text. number: place of a word in ``counts`` and ``codes``."""
+    cut = [words_of(t) for t in texts]
+    flat: list[int] = []
+    for w in cut:
+        flat.extend(map(number.__getitem__, w))
+        flat.append(number[END])
+    at, ends = np.array(flat, np.int64), np.cumsum([len(w) + 1 for w in cut]) - 1
+    c, code = counts[at], codes[at]
+    slot = np.where(c > 0, code >> 32, UNSEEN)
+    base = np.log10((c + 0.5) / model.whole)
+    score = (slot_logs(histories(code, ends), slot, model.weights, priors) + np.log((c + 0.5) / model.mass[slot])) / np.log(10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return ends - starts + 1, np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    keyed, size = dealt_texts(docs, key, text)
+    words, counts = count_words(keyed)
+    model = fit(keyed, counts, size)
+    priors = log_priors(model.mass)
+    shared = docs.sparkSession.sparkContext.broadcast((model, priors))
 
     def score(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return SCORES.empty_table()
-        number = dict(zip(answers["word"].to_pylist(), range(answers.num_rows)))
+        model, priors = shared.value
+        asked = answers["word"].to_pylist()
+        number = dict(zip(asked, range(len(asked))))
+        vocabulary = Vocabulary(model.top)
+        codes = np.array([vocabulary[w] for w in asked], np.int64)
         c = answers["c"].to_numpy()
-        base = np.log10((c + 0.5) / whole)
-        vocabulary = Vocabulary(top)
-        codes = np.array([vocabulary[w] for w in number], np.int64)
-        codes[number[END]] = end * NEAR * FAR
-        logs = shared.value
-        held, size, out = [], 0, []
-        column = texts["text"].combine_chunks()
-
-        def flush():
-            cut = [words_of(t) for t in held]
-            flat: list[int] = []
-            for w in cut:
-                flat.extend(map(number.__getitem__, w))
-                flat.append(number[END])
-            at, ends = np.array(flat, np.int64), np.cumsum([len(w) + 1 for w in cut]) - 1
-            history, output = histories(codes[at], ends)
-            b = base[at]
-            s = logs[history, output].astype(np.float64) + np.where(output == REST, b - np.log10(rest), 0)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            out.append((ends - starts + 1, np.add.reduceat((c[at] > 0).astype(np.int64), starts), np.add.reduceat(b, starts), np.add.reduceat(s, starts)))
-
-        for t in column:
-            held.append(t.as_py())
-            size += len(held[-1])
-            if size > 4 << 20:
-                flush()
-                held, size = [], 0
-        if held:
-            flush()
-        n, k, b, s = (np.concatenate([o[i] for o in out]) for i in range(4))
-        return pa.table([texts["doc_id"], texts["held_out"], pa.array(n), pa.array(k), pa.array(b), pa.array(s)], schema=SCORES)
-
-    answers = words.join(counts, "word").select("block", "word", "c")
-    scored = keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        out = [score_texts(part, number, c, codes, model, priors) for part in grouped(texts["text"].combine_chunks())]
+        return pa.table([texts["doc_id"], texts["held_out"], *[pa.array(np.concatenate([o[i] for o in out])) for i in range(4)]], schema=SCORES)
+
+    answers = materialize(words.join(counts, "word").select("block", "word", "c"), "lm-answers")
+    release(words)
+    release(counts)
+    scored = keyed.select("doc_id", "held_out", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,13 +295,56 @@ def test_language_model(docs, empty):
     assert maxent_lm.score_documents(empty).count() == 0
 
 
-def test_language_model_sums_to_one():
-    used = np.zeros(maxent_lm.OUTPUTS, bool)
-    used[:40] = used[-1] = True
-    weights = np.random.default_rng(0).normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES + maxent_lm.OUTPUTS))
-    c, m = maxent_lm.log_probabilities(weights, used, maxent_lm.feature_rows()[:50])
-    p = np.where(used, np.exp(np.repeat(c, maxent_lm.MEMBERS, axis=1) + m), 0)
-    assert np.allclose(p.sum(axis=1), 1)
+def slow_log(model, one: int, two: int, slot: int) -> float:
+    """Natural log of p(slot | two, one), a number at a time. one, two: codes of the words before."""
+    priors, out, mask = maxent_lm.log_priors(model.mass).astype(float), 0.0, 2**64 - 1
+    odd = [int(x) for x in maxent_lm.ODD]
+    feature = [one >> 32, two >> 32, (one * odd[0] & mask) ^ (two * odd[1] & mask)]
+    first = 0
+    for level in range(maxent_lm.LEVELS):
+        node = first + slot // 16 ** (3 - level)
+        logits = priors[node].copy()
+        for kind in maxent_lm.USED[level]:
+            mixed = (feature[kind] * odd[0] + node * odd[1] + kind) * odd[2] & mask
+            mixed = (mixed ^ mixed >> 29) * odd[0] & mask
+            half, base = ((model.bits - 1, 0), (model.bits - 2, 2), (model.bits - 2, 3))[kind]
+            logits += model.weights[(mixed >> 64 - half) + (base << model.bits - 2)]
+        out += logits[slot // 16 ** (2 - level) % 16] - np.log(np.exp(logits).sum())
+        first += 16**level
+    return out
+
+
+def test_language_model_scores(docs):
+    """Every score against a loop over tokens; p sums to one over all words and the unseen one."""
+    keyed, size = maxent_lm.dealt_texts(docs, "doc_id", "text")
+    _, counts = maxent_lm.count_words(keyed)
+    model = maxent_lm.fit(keyed, counts, size)
+    assert np.abs(model.weights).max() > 0.1
+    count = {bytes(r.word): r.c for r in counts.collect() if r.c}
+    code, start = maxent_lm.Vocabulary(model.top), maxent_lm.START << 32
+    part = lambda w, slot: np.log((count.get(w, 0) + 0.5) / model.mass[slot])
+    slot_of = lambda w: code[w] >> 32 if w in count else maxent_lm.UNSEEN
+    got = {(r.doc_id, r.n_tokens): r.score for r in maxent_lm.score_documents(docs).collect()}
+    for d, text in raw(docs):
+        if len(text) < 5000:
+            words, one, two, want = text.lower().split() + [b""], start, start, 0.0
+            for w in words:
+                want += slow_log(model, one, two, slot_of(w)) + part(w, slot_of(w))
+                one, two = code[w], one
+            assert got[d, len(words)] == pytest.approx(want / np.log(10), abs=1e-3)
+    for one, two in ((start, start), (code[b"two"], start), (code[b"unheard"], code[b"one"])):
+        total = np.exp(slow_log(model, one, two, maxent_lm.UNSEEN))
+        for w in count:
+            total += np.exp(slow_log(model, one, two, slot_of(w)) + part(w, slot_of(w)))
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_learns(spark):
+    """What follows depends on the words before: held-out texts are likelier than under the base model."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 20, 120)), "en", "s", 0) for i in range(300)]
+    got = [r for r in maxent_lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.15
 
 
 def test_bpe(docs, empty):
