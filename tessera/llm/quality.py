@@ -1,17 +1,18 @@
 """Compression classifier of text quality.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed
-with both, block by block (``BLOCK`` bytes, so a dictionary counts the same at any place of a long text);
-the difference of the sizes over the length, with the compressed sizes themselves and the length, goes
-through a logistic calibration fitted on labelled texts that neither dictionary has seen.
+Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed with both, block
+by block (``BLOCK`` bytes, so a dictionary counts the same at any place of a long text). The one signal is the normalised
+difference of the sizes, (bad - good) / bytes; a logistic calibration, fitted on labelled texts that neither dictionary has seen,
+turns it into the score.
 
 Fitting uses a bounded sample: at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes per class, in hash order
 of doc_id; class weights restore the labels' own proportions. Only doc_ids whose crc32 (as text) is
 not 2 modulo 4 are learnt from. Scoring covers every byte of every text.
 
-Defined results: a null text is an empty one, and empty texts get a score like any other; contradicting labels
-of one document are left out; without labels of both classes every score is the share of good ones (1 without
-any label); an empty table gives an empty table; rows may repeat; further columns are not read.
+Defined results: a null text is an empty one, and empty texts get a score like any other; a null doc_id is not held out;
+contradicting labels of one document are left out; without labels of both classes every score is the share of good ones (1 without
+any label); an empty table gives an empty table; rows may repeat; further columns are not read. ``keep_good`` returns the
+columns of its input, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
 
-LEVEL, DICT_BYTES, BLOCK = 3, 32_768, 4096
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_SHARE = 4000, 24 << 20, 0.25
+LEVEL, DICT_BYTES, BLOCK = 3, 112_640, 1024
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_SHARE = 4000, 24 << 20, 0.5
 THRESHOLD = 0.7
 
 
@@ -37,6 +38,7 @@ THRESHOLD = 0.7
 class QualityModel:
     good: bytes
     bad: bytes
+    #: Intercept and slope over the normalised difference; none without labels of both classes.
     weights: list[float]
     prior: float
 
@@ -54,18 +56,18 @@ class Sizer:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; the samples' own bytes where they are too few to train on."""
+    """A trained dictionary of an eighth of the samples' bytes, ``DICT_BYTES`` at most; their own bytes where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, [s[a : a + BLOCK] for s in samples for a in range(0, len(s), BLOCK)]).as_bytes()
+        size = min(DICT_BYTES, max(256, sum(map(len, samples)) // 8))
+        return zstandard.train_dictionary(size, [s[a : a + BLOCK] for s in samples for a in range(0, len(s), BLOCK)]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[-DICT_BYTES:] or b" " * 8
 
 
-def features(texts: list[bytes], good: Sizer, bad: Sizer) -> np.ndarray:
-    g, b = (np.array([s.size(t) for t in texts], float) for s in (good, bad))
-    n = np.array([len(t) for t in texts], float)
-    d, r, m = (b - g) / np.maximum(n, 1) * 10, g / np.maximum(n, 1), np.log2(n + 16) / 10
-    return np.stack([np.ones_like(d), d, r, m, d * d, r * r, m * m, d * r, d * m, r * m, 1 / (1 + np.exp(-6 * d))], axis=1)
+def differences(texts: list[bytes], good: Sizer, bad: Sizer) -> np.ndarray:
+    """Rows of 1 and the normalised compressed-size difference."""
+    d = np.array([(bad.size(t) - good.size(t)) / max(1, len(t)) for t in texts], float)
+    return np.stack([np.ones_like(d), 10 * d], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> np.ndarray:
@@ -122,11 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     cut = {y: max(2, int(len(t) * DICT_SHARE)) for y, t in texts.items()}
     good, bad = (dictionary(texts[y][: cut[y]]) for y in (1, 0))
     rest = {y: texts[y][cut[y] :] for y in (0, 1)}
-    x = features(rest[1] + rest[0], Sizer(good), Sizer(bad))
+    x = differences(rest[1] + rest[0], Sizer(good), Sizer(bad))
     y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
     w = np.array([counts[1] / len(rest[1])] * len(rest[1]) + [counts[0] / len(rest[0])] * len(rest[0]))
-    # With few labelled texts the calibration is held back harder.
-    return QualityModel(good, bad, logistic(x, y, w, ridge=1e-4 if len(y) >= 1000 else 1e-2).tolist(), prior)
+    return QualityModel(good, bad, logistic(x, y, w).tolist(), prior)
 
 
 _sizers: dict[str, tuple[Sizer, Sizer]] = {}
@@ -139,36 +140,39 @@ def scores(texts: list[bytes], model: QualityModel) -> np.ndarray:
     if name not in _sizers:
         _sizers.clear()
         _sizers[name] = Sizer(model.good), Sizer(model.bad)
-    return 1 / (1 + np.exp(-np.clip(features(texts, *_sizers[name]) @ np.array(model.weights), -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(differences(texts, *_sizers[name]) @ np.array(model.weights), -40, 40)))
 
 
-def _score(model: QualityModel, extra: int):
-    """Adds the score behind the first ``extra`` columns; the text comes last."""
+def score_documents(docs: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, score, predicted."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                got = scores([t.as_py() for t in part.column(extra)], model)
-                yield pa.record_batch([*[part.column(i) for i in range(extra)], pa.array(got, pa.float64())], [*batch.schema.names[:extra], "score"])
-
-    return run
+                got = scores([t.as_py() for t in part.column(2)], model)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
 
-
-def score_documents(docs: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), (remainder(key, 4) == 2).alias("held_out"), text_or_empty().cast("binary").alias("text"))
-    scored = keyed.mapInArrow(_score(model, 2), "doc_id long, held_out boolean, score double")
+    out = F.coalesce(remainder(key, 4) == 2, F.lit(False))
+    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), out.alias("held_out"), text_or_empty().cast("binary").alias("text"))
+    scored = keyed.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that reach the threshold, with their own columns."""
+    """The rows of ``docs`` that reach the threshold, with their own columns; a text crosses to Python once."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), text_or_empty().cast("binary").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInArrow(_score(model, 1), f"row {kind}, score double")
-    return scored.where(F.col("score") >= threshold).select(*[F.col("row")[c].alias(c) for c in names])
+    plain = docs.withColumn("text", F.col("text").cast("string")).toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                got = scores([(t.as_py() or "").encode("utf-8") for t in part.column(at)], model)
+                yield part.filter(pa.array(got >= threshold))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,8 +277,16 @@ def test_quality(spark, empty):
     held = [r for r in got.values() if r.held_out and r.doc_id < 240]
     assert held and np.mean([(r.doc_id < 120) == (r.predicted == 1) for r in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got.values()) and all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
-    assert quality.keep_good(docs, model).columns == docs.columns
+    odd = docs.withColumns({"a b": F.array(F.struct(F.lit(1).alias("x y"))), "score": F.lit("clash")})
+    kept = quality.keep_good(odd, model)
+    assert kept.schema == odd.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got.values() if r.score >= quality.THRESHOLD)
+    again = quality.score_documents(odd.unionByName(odd), model).collect()
+    assert len(again) == 2 * len(got) and all(r.score == got[r.doc_id].score for r in again)
+    unnamed = quality.score_documents(docs.withColumn("doc_id", F.lit(None).cast("long")), model)
+    assert unnamed.where("held_out is null or doc_id is not null").count() == 0
     none = quality.fit(docs, labels.limit(0))
+    assert all(r.score == 1.0 for r in quality.score_documents(docs, none).collect())
     assert quality.score_documents(empty, none).count() == 0 and none.prior == 1.0
 
 
@@ -295,6 +303,17 @@ def test_language_model(docs, empty):
     assert maxent_lm.score_documents(empty).count() == 0
 
 
+def test_quality_of_long_texts():
+    """A text of many blocks has the sum of its blocks' sizes, and a score is the calibration of the difference alone."""
+    rng = np.random.default_rng(9)
+    make = lambda f: [" ".join(f(w) for w in rng.choice(WORDS, 200)).encode() for _ in range(60)]
+    good, bad = (quality.Sizer(quality.dictionary(make(f))) for f in (str, str.upper))
+    text = b"".join(make(str))
+    assert good.size(text) == sum(good.size(text[a : a + quality.BLOCK]) for a in range(0, len(text), quality.BLOCK))
+    (one, d), (_, none) = quality.differences([text, b""], good, bad)
+    assert one == 1 and none == 0 and d == pytest.approx(10 * (bad.size(text) - good.size(text)) / len(text)) and d > 0
+
+
 def slow_log(model, one: int, two: int, slot: int) -> float:
     """Natural log of p(slot | two, one), a number at a time. one, two: codes of the words before."""
     priors, out, mask = maxent_lm.log_priors(model.mass).astype(float), 0.0, 2**64 - 1
