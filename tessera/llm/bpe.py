@@ -6,8 +6,10 @@ their paths to the root, so a word of n symbols costs O(n log n), however long i
 are one numpy array, and every step does the next merge of all words that still have one.
 
 Texts are cut at spaces and the code points 9 to 13, which no pre-token of this vocabulary crosses; the
-pieces' results are kept per Python worker (``CACHE_PIECES`` at most), so each distinct piece is
-normalised, split and merged about once. Normalisation is NFC, then per-character lower case.
+pieces' results are kept per Python worker (``CACHE_PIECES`` of ``CACHE_BYTES`` at most), so each distinct piece is
+normalised, split and merged about once. Normalisation is NFC, then per-character lower case; the classes of characters
+and their lower case depend on the Unicode version, so pieces with a code point from U+0530 on are normalised and split
+by the tokenizers library itself (below it all code points agree, as a test shows).
 
 Defined results: a null text is an empty one (no ids, an empty decoded text); an empty table gives an
 empty table; rows may repeat; further columns of the input are not read.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
 
-CACHE_PIECES = 700_000
+CACHE_PIECES, CACHE_BYTES = 700_000, 16 << 20
 #: Cells of one array of trees.
 TREE_CELLS = 1 << 21
 NONE = np.iinfo(np.int64).max
@@ -134,8 +136,12 @@ class WordBpe:
     """Encoder and decoder of a word-end BPE vocabulary file."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"] or ""
@@ -150,10 +156,16 @@ class WordBpe:
         self.words_of = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         special = regex.compile("(" + ("|".join(map(regex.escape, self.special)) or r"(?!)") + ")")
         self.split_special, self.has_special = special.split, special.search
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.rare = regex.compile("[\u0530-\U0010ffff]").search
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
+        if self.rare(text):
+            shown = [token for token, _ in self.split(self.normalize(text))]
+            return [bytes([self.byte_of[c] for c in token]).decode("utf-8") for token in shown]
         text = unicodedata.normalize("NFC", text)
         # Lower case goes character by character: no word-final sigma.
         text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
@@ -209,9 +221,12 @@ class WordBpe:
     def learn(self, pieces: set[bytes]) -> None:
         """Puts the ids and the decoded text of all pieces into the cache."""
         fresh = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > CACHE_PIECES:
+        size = sum(map(len, fresh))
+        if len(self.pieces) + len(fresh) > CACHE_PIECES or self.held + size > CACHE_BYTES:
             self.pieces.clear()
             fresh = list(pieces)
+            self.held, size = 0, sum(map(len, fresh))
+        self.held += size
         self.pieces.update(zip(fresh, self.encode_pieces(fresh)))
 
 
