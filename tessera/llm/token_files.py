@@ -3,18 +3,20 @@
 File layout (little-endian): magic, blocks of packed ids, document ids and token counts, byte offsets of
 the blocks, a footer (bits, counts, block size, positions of the tables) and its length. Every id takes the
 minimum bits for the vocabulary, least significant bit first; every block but the last holds ``BLOCK`` ids and
-starts at a byte, so a range of ids is read by unpacking the blocks that hold it, and nothing else.
+starts at a byte, so a range of ids is read by unpacking the blocks that hold it, and nothing else. Documents
+with a null id come first; the footer counts them.
 
-Documents are range-partitioned by doc_id, sorted, encoded and written by the executors into the cluster's
-shared folder, one file per shard. A repeated task attempt writes a file of its own name and only the
+Documents are range-partitioned and sorted by doc_id, then by the text's hashes (so a doc_id that repeats is no single
+task), encoded and written by the executors into the cluster's shared folder, one file per shard. A repeated task attempt writes a file of its own name and only the
 files that the finished job reports are read. The driver keeps the list of files, nothing per document.
 
 Encoding uses the tokenizers library's model. Texts are cut at each space that a non-space follows, where the
 byte-level pre-tokenizer always cuts too; a Python worker keeps the ids of up to ``CACHE_PIECES``
 pieces. A text that holds a special token's string goes through the library as it is.
 
-Defined results: a null text is an empty one (the end id alone); an empty table gives no files and an empty
-result; rows may repeat; further columns of the input are not read.
+Defined results: a null text is an empty one (the end id alone); rows with a null doc_id are written before all others and
+read back with a null doc_id; rows of one doc_id go by crc32 of the text; an empty table gives no files and an empty result; rows
+may repeat; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from tessera.llm.common import new_path, text_or_empty
 
 MAGIC, BLOCK, END_ID = b"TSBP0001", 1 << 16, 0
 CACHE_PIECES, CACHE_TOKENS = 1_200_000, 100_000
-FOOTER = struct.Struct("<IIQQQQQ")
+FOOTER = struct.Struct("<IIQQQQQQ")
+#: Pieces over so many bytes are not kept.
+LONG_PIECE = 256
 
 
 # --- bit packing --------------------------------------------------------------------------------
@@ -66,11 +70,15 @@ class Writer:
 
     def __init__(self, stream, bits: int):
         self.stream, self.bits = stream, bits
-        self.docs, self.counts, self.offsets, self.held, self.size, self.at = [], [], [], [], 0, len(MAGIC)
+        self.docs, self.counts, self.offsets, self.held, self.size, self.at, self.nulls = [], [], [], [], 0, len(MAGIC), 0
         stream.write(MAGIC)
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        self.docs.append(doc)
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        """Documents without an id come before all others."""
+        if doc is None and len(self.docs) > self.nulls:
+            raise ValueError("a null id after others")
+        self.nulls += doc is None
+        self.docs.append(doc or 0)
         self.counts.append(len(ids))
         self.held.append(ids)
         self.size += len(ids)
@@ -91,7 +99,7 @@ class Writer:
             self._block(np.concatenate(self.held))
         tables = np.array(self.docs, "<i8").tobytes() + np.array(self.counts, "<i8").tobytes() + np.array(self.offsets, "<u8").tobytes()
         total = sum(self.counts)
-        self.stream.write(tables + FOOTER.pack(self.bits, BLOCK, len(self.docs), total, len(self.offsets), self.at, len(tables)) + MAGIC)
+        self.stream.write(tables + FOOTER.pack(self.bits, BLOCK, len(self.docs), total, len(self.offsets), self.at, len(tables), self.nulls) + MAGIC)
         return total
 
 
@@ -102,7 +110,7 @@ class Reader:
         self.stream = stream
         end = stream.size() - FOOTER.size - len(MAGIC)
         stream.seek(end)
-        self.bits, self.block, docs, self.total, blocks, at, size = FOOTER.unpack(stream.read(FOOTER.size))
+        self.bits, self.block, docs, self.total, blocks, at, size, self.nulls = FOOTER.unpack(stream.read(FOOTER.size))
         if stream.read(len(MAGIC)) != MAGIC:
             raise ValueError("not a token-id file")
         stream.seek(at)
@@ -122,16 +130,16 @@ class Reader:
         self.stream.seek(int(self.offsets[b]))
         return unpack(self.stream.read(-(-held * self.bits // 8)), self.bits, held)
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, place of its first id in the file, ids); each block is read once."""
         at, b, held, left = 0, 0, [], 0
-        for doc, count in zip(self.docs.tolist(), self.counts.tolist()):
+        for n, (doc, count) in enumerate(zip(self.docs.tolist(), self.counts.tolist())):
             while left < count:
                 held.append(self._read(b))
                 left += len(held[-1])
                 b += 1
             flat = held[0] if len(held) == 1 else np.concatenate(held) if held else np.empty(0, np.uint32)
-            yield doc, at, flat[:count]
+            yield doc if n >= self.nulls else None, at, flat[:count]
             held, left, at = [flat[count:]], left - count, at + count
 
 
@@ -153,7 +161,8 @@ class Pieces(dict):
             self.clear()
         follows = not piece or piece[:1].isspace() or piece[0] > 127 and piece.decode("utf-8", "replace")[0].isspace()
         ids = b"" if follows else self.bpe.fresh(b" " + piece)
-        self[piece] = ids
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
         return ids
 
 
@@ -167,7 +176,9 @@ class Tokens(dict):
     def __missing__(self, token: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        ids = self[token] = self.bpe.token_ids(token)
+        ids = self.bpe.token_ids(token)
+        if len(token) <= LONG_PIECE:
+            self[token] = ids
         return ids
 
 
@@ -246,65 +257,59 @@ def default_path() -> str:
 GROUP_BYTES = 2 << 20
 
 
-def _grouped(batches, most: int = GROUP_BYTES) -> Iterator[tuple[list, list[bytes], list[int]]]:
-    keys, texts, shards, size = [], [], [], 0
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder that Spark names: object stores go by pyarrow's scheme for them."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+
+
+def _grouped(batches, most: int = GROUP_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    keys, texts, size = [], [], 0
     for batch in batches:
-        for shard, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
-            if size >= most or shards and shards[-1] != shard:
-                yield shards[0], keys, texts
-                keys, texts, shards, size = [], [], [], 0
+            if size >= most:
+                yield keys, texts
+                keys, texts, size = [], [], 0
             keys.append(key)
             texts.append(text)
-            shards.append(shard)
             size += len(text)
     if keys:
-        yield shards[0], keys, texts
+        yield keys, texts
 
 
 def _write_shards(tokenizer: str, folder: str):
     def run(batches):
         import uuid
 
-        bpe = load(tokenizer)
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        end = np.array([END_ID], "<u4")
-        shard, name, writer, stream, done = None, None, None, None, []
-
-        def finish():
-            if writer is not None:
-                total = writer.close()
-                stream.close()
-                done.append((shard, name, len(writer.docs), total))
-
-        for now, keys, texts in _grouped(batches):
-            if now != shard:
-                finish()
-                shard, name = now, f"{folder}/shard-{now:06d}-{uuid.uuid4().hex}.tsbp"
-                stream = fs.open_output_stream(f"{root}/{name.rsplit('/', 1)[1]}")
+        from pyspark import TaskContext
+
+        shard, writer, stream, name = TaskContext.get().partitionId(), None, None, None
+        bpe, end = load(tokenizer), np.array([END_ID], "<u4")
+        for keys, texts in _grouped(batches):
+            if writer is None:
+                fs, root = _filesystem(folder)
+                fs.create_dir(root, recursive=True)
+                name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tsbp"
+                stream = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(stream, bits_for(bpe.vocabulary))
             for key, ids in zip(keys, bpe.encode(texts)):
                 writer.add(key, np.concatenate([np.frombuffer(ids, "<u4"), end]))
-        finish()
-        if done:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "docs", "tokens"])
+        if writer is not None:
+            total = writer.close()
+            stream.close()
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((shard, f"{folder}/{name}", len(writer.docs), total), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "docs", "tokens"])
 
     return run
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shards: int | None = None, key: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int, int]]:
     """Encodes and writes all texts in ascending key order. Returns (shard, path, docs, tokens, ids before it) per file."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text")).where(F.col("doc_id").isNotNull())
-    cuts = keyed.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))[: shards - 1]
-    shard = F.lit(0)
-    if cuts:
-        shard = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id")))
-    placed = keyed.withColumn("shard", shard.cast("int")).repartitionById(len(cuts) + 1, F.col("shard"))
-    ordered = placed.sortWithinPartitions("shard", "doc_id", F.crc32("text")).select("shard", "doc_id", "text")
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+    keyed = keyed.withColumns({"crc": F.crc32("text"), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("doc_id"), "crc", "hash", "row"]
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = sorted(tuple(r) for r in ordered.mapInArrow(_write_shards(tokenizer or default_path(), folder), "shard int, path string, docs long, tokens long").collect())
     out, before = [], 0
     for r in rows:
@@ -316,7 +321,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 def _read_files(batches):
     for batch in batches:
         for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fs, place = pafs.FileSystem.from_uri(path)
+            fs, place = _filesystem(path)
             with fs.open_input_file(place) as stream:
                 held = []
                 for doc, at, ids in Reader(stream).documents():

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from itertools import cycle
 from math import log10
 
 import numpy as np
@@ -71,10 +72,11 @@ def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(token_files.default_path())
+    docs = docs.unionByName(docs.where("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id < 9").withColumn("doc_id", F.lit(5)))
     files = token_files.write_token_files(docs, f"file://{tmp_path}/t", shards=3)
     got = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, files).collect()}
     start = 0
-    for doc, text in sorted(raw(docs), key=lambda x: (x[0], zlib.crc32(x[1]))):
+    for doc, text in sorted(raw(docs), key=lambda x: (x[0] is not None, x[0], zlib.crc32(x[1]))):
         ids = np.array([*whole.encode(text.decode(), add_special_tokens=False).ids, 0], "<u4")
         assert got.pop((doc, start)) == (len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
@@ -89,12 +91,16 @@ def test_packing(bits, tmp_path):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 150_000, dtype=np.uint64).astype(np.uint32)
     with pa.OSFile(str(tmp_path / "f"), "wb") as f:
         writer = token_files.Writer(f, bits)
+        writer.add(None, ids[:0])
         for a in range(0, len(ids), 70_001):
             writer.add(a, ids[a : a + 70_001])
         writer.add(-1, ids[:0])
+        with pytest.raises(ValueError):
+            writer.add(None, ids[:1])
         assert writer.close() == len(ids)
     with pa.OSFile(str(tmp_path / "f")) as f:
         reader = token_files.Reader(f)
+        assert [d for d, _, _ in reader.documents()] == [None, 0, 70_001, 140_002, -1]
         assert (np.concatenate([x for _, _, x in reader.documents()]) == ids).all()
         assert (reader.ids(65_530, 20) == ids[65_530:65_550]).all() and len(reader.ids(5, 0)) == 0
 
@@ -380,6 +386,42 @@ def test_bpe(docs, empty):
     assert bpe.bpe_digests(empty).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    """As the library, whatever Unicode version Python's tables have."""
+    from tokenizers import Tokenizer
+
+    whole, mine = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x323B0), *range(0xE0000, 0xE01F0))]
+    for a in range(0, len(points), 5000):
+        pieces = [f"c{x}cy{y}c{x}" for x, y in zip(points[a : a + 5000], cycle("z.é1"))] + [f"ab{x}cy" for x in points[a : a + 5000]] + points[a : a + 5000]
+        want = [w.ids for w in whole.encode_batch(pieces, add_special_tokens=False)]
+        cut = [p.encode().split() for p in pieces]
+        got = mine.encode_pieces([p for parts in cut for p in parts] or [b"x"])
+        at = 0
+        for p, parts, ids in zip(pieces, cut, want):
+            assert np.frombuffer(b"".join(g[0] for g in got[at : at + len(parts)]), "<u4").tolist() == ids, repr(p)
+            at += len(parts)
+
+
+def test_bpe_of_random_texts():
+    from hypothesis import given, settings, strategies as st
+    from tokenizers import Tokenizer
+
+    whole, mine = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(max_size=60) | st.text(alphabet="aA'sté \n1.,<|endoftext>ΣἈ\u0301\u0345\u0301", max_size=60))
+    def check(text):
+        import pyarrow as pa
+
+        batch = pa.record_batch([pa.array([0]), pa.array([text.encode()])], ["k", "t"])
+        ((_, ids, out),) = bpe.coded([batch], bpe.default_path())
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and out.decode() == whole.decode(want, skip_special_tokens=False) == mine.decode(want)
+
+    check()
+
+
 def test_mixing(docs, empty):
     got = mixing.mix_report(docs).toPandas()
     assert len(got) == len(raw(docs)) and (got.taken <= 2 * got["size"]).all()
