@@ -12,14 +12,16 @@ Centroids are fitted on at most ``FIT_ROWS`` vectors in hash order of their id;
 of its nearest lists a query probes is measured on the table itself: ``MEASURED`` queries are compared with all
 vectors, and the least number of lists is taken that holds ``FOUND`` of their true neighbours (vectors without
 clusters need over half of all lists, whatever the size). Where these hold too few candidates, a query
-probes more. Equal vectors
-are one class: only the k + 1 smallest ids of a class can be among anyone's k nearest, so the others
+probes more. The nearest list is scanned first; the k-th inner product found there goes with the query to all further
+lists, as the distance to beat. Equal vectors
+are one class: only the rows of its k + 1 smallest ids can be among anyone's k nearest, so the others
 leave before the index (an exact reduction). Lists are cut into units of ``UNIT_ROWS`` vectors and ``UNIT_QUERIES``
 queries, so no task holds a list, however large.
 
 Defined results: vectors that are null, empty, zero, of another dimension than most or hold null or
-non-finite components take no part; ties go to the smaller vec_id; repeated ids are candidates of their own
-but never their own query's; an empty table gives an empty result; further columns are not read.
+non-finite components take no part; ties go to the smaller vec_id; a query id that repeats is asked once, with the
+smallest of its vectors, and repeated ids are candidates of their own but never their own query's; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -36,21 +38,21 @@ FIT_ROWS, FIT_STEPS, MAX_LISTS = 20_000, 8, 4096
 BLOCK_DIMS, EPSILON, UNIT_ROWS, UNIT_QUERIES, SEED = 16, 2.1, 8192, 2048, 42
 #: Share of the true neighbours that must lie in the probed lists, and the queries that it is measured on.
 FOUND, MEASURED = 0.97, 256
-#: Tables of up to so many vectors are one list.
-SMALL = 1000
 
 
 def clean_vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id, vector: rows with a usable vector, without the copies beyond the TOP + 1 smallest ids."""
+    """vec_id, vector: rows with an id and a usable vector."""
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).where(~bad & F.exists("vector", lambda x: x != 0))
     return rows
 
 
-def first_copies(rows: DataFrame, most: int) -> DataFrame:
-    order = W.partitionBy("vector").orderBy("vec_id")
-    return rows.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= most).drop("copy")
+def first_copies(rows: DataFrame, top: int) -> DataFrame:
+    """Of equal vectors the rows of the ``top`` + 1 smallest ids, of equal rows ``top``."""
+    once = F.row_number().over(W.partitionBy("vector", "vec_id").orderBy("vec_id"))
+    place = F.dense_rank().over(W.partitionBy("vector").orderBy("vec_id"))
+    return rows.withColumn("copy", once).where(F.col("copy") <= top).withColumn("place", place).where(F.col("place") <= top + 1).select("vec_id", "vector")
 
 
 def kmeans(x: np.ndarray, k: int, steps: int, rng) -> np.ndarray:
@@ -84,17 +86,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def scan(queries: np.ndarray, owners: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, norm: float, top: int) -> list[tuple[int, int, float]]:
-    """(row of queries, vec_id, inner product) of each query's best in one unit."""
+def scan(queries: np.ndarray, owners: np.ndarray, beaten: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, norm: float, top: int) -> list[tuple[int, int, float]]:
+    """(row of queries, vec_id, inner product) of each query's best in one unit. beaten: inner products that each query has ``top`` of already."""
     blocks = (lift(vectors, norm) @ rotation).T.astype(np.float32)
     turned = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ rotation
     dims, out = len(blocks), []
     edges = [*range(0, dims, BLOCK_DIMS), dims]
     seeds = min(len(ids), 4 * top)
+    known = norm * norm + (queries * queries).sum(axis=1) - 2 * beaten
     for q in range(len(queries)):
         # A first set of candidates, in full, gives the distance to beat.
         full = ((blocks[:, :seeds] - turned[q][:, None].astype(np.float32)) ** 2).sum(axis=0)
-        kth = np.partition(full, top)[top] if seeds > top else np.inf
+        kth = min(np.partition(full, top)[top] if seeds > top else np.inf, known[q])
         alive, partial = np.arange(len(ids)), np.zeros(len(ids), np.float32)
         for a, b in zip(edges, edges[1:]):
             rows = blocks[a:b] if len(alive) == len(ids) else blocks[a:b, alive]
@@ -151,14 +154,14 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
         return spark.createDataFrame([], result)
     dims = sizes.dims
     usable = usable.where(F.size("vector") == dims)
-    kept = materialize(first_copies(usable, top + 1), "ann-vectors")
+    kept = materialize(first_copies(usable, top), "ann-vectors")
     count, largest = kept.agg(F.count(F.lit(1)), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()
     norm = float(np.sqrt(largest)) * (1 + 1e-9)
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0]
     sample = kept.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(FIT_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     sample = lift(matrix(sample), norm)
-    lists = 1 if count <= SMALL else int(min(MAX_LISTS, max(2, round(np.sqrt(count) / 4)), len(sample)))
+    lists = int(min(MAX_LISTS, max(1, round(np.sqrt(count) / 4)), len(sample)))
     centres = kmeans(sample, lists, FIT_STEPS, rng) if lists > 1 else sample.mean(axis=0, keepdims=True)
 
     def assign(batches):
@@ -168,7 +171,8 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
             yield pa.record_batch([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], ["list", "vec_id", "vector"])
 
     placed = materialize(kept.mapInArrow(assign, "list int, vec_id long, vector array<double>"), "ann-lists")
-    queries = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    # Every copy of a vector is asked for on its own id, every id once.
+    queries = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     if probes is None:
         probes = probes_needed(placed, queries, centres, top) if lists > 1 else 1
     held = np.zeros(lists, np.int64)
@@ -180,38 +184,52 @@ def search(table: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY, pro
         for batch in batches:
             x = matrix(batch.column(1))
             order = nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1), centres, lists) if len(x) else np.empty((0, lists), np.int64)
-            rows, to = [], []
+            rows, to, place = [], [], []
             for i, near in enumerate(order):
+                near = near[held[near] > 0]
                 enough = int(np.searchsorted(np.cumsum(held[near]), top + 1)) + 1
-                for n in near[: max(probes, enough)]:
-                    if held[n]:
-                        rows.append(i)
-                        to.append(n)
-            yield pa.record_batch([pa.array(to, pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64()))], ["list", "vec_id", "vector"])
-
-    # Queries keep every copy of a vector: each is asked for on its own id.
-    asked = queries.mapInArrow(probe, "list int, vec_id long, vector array<double>")
-    asked = materialize(asked, "ann-probes")
-    wanted = np.zeros(lists, np.int64)
-    for r in asked.groupBy("list").count().collect():
-        wanted[r.list] = r["count"]
-    parts = np.maximum(1, -(-wanted // UNIT_QUERIES))
-    # The vectors of a list go to each of its query parts, the queries to each of its vector units.
-    table_of = spark.createDataFrame([(i, int(units[i]), int(parts[i])) for i in range(lists)], "list int, units int, parts int")
-    left = placed.join(F.broadcast(table_of), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("units")).cast("int").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "vector")
-    right = asked.join(F.broadcast(table_of), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "vector")
+                near = near[: max(probes, enough)]
+                rows += [i] * len(near)
+                to += near.tolist()
+                place += range(len(near))
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([pa.array(to, pa.int32()), pa.array(place, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["list", "place", "vec_id", "vector"])
+
+    asked = materialize(queries.mapInArrow(probe, "list int, place int, vec_id long, vector array<double>"), "ann-probes")
 
     def unit(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        owners = queries["vec_id"].to_numpy()
-        got = scan(matrix(queries["vector"].combine_chunks()), owners, matrix(vectors["vector"].combine_chunks()), vectors["vec_id"].to_numpy(), rotation, norm, top)
+        owners, beaten = queries["vec_id"].to_numpy(), queries["beaten"].to_numpy()
+        got = scan(matrix(queries["vector"].combine_chunks()), owners, beaten, matrix(vectors["vector"].combine_chunks()), vectors["vec_id"].to_numpy(), rotation, norm, top)
         return pa.table([pa.array(owners[[g[0] for g in got]], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], schema=schema)
 
-    names = ["list", "unit", "part"]
-    found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(unit, "query_id long, vec_id long, score double")
+    def scanned(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: each query's best of every unit. asked: list, vec_id, vector, beaten."""
+        wanted = np.zeros(lists, np.int64)
+        for r in asked.groupBy("list").count().collect():
+            wanted[r.list] = r["count"]
+        parts = np.maximum(1, -(-wanted // UNIT_QUERIES))
+        # The vectors of a list go to each of its query parts, the queries to each of its vector units.
+        table_of = spark.createDataFrame([(i, int(units[i]), int(parts[i])) for i in range(lists) if wanted[i]], "list int, units int, parts int")
+        left = placed.join(F.broadcast(table_of), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("units")).cast("int").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "vector")
+        right = asked.join(F.broadcast(table_of), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "vector", "beaten")
+        names = ["list", "unit", "part"]
+        return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(unit, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    nothing = F.lit(float("-inf"))
+    if not asked.take(1):
+        return spark.createDataFrame([], result)
+    first = scanned(asked.where("place = 0").withColumn("beaten", nothing)).withColumn("rank", rank).where(F.col("rank") <= top)
+    first = materialize(first, "ann-first")
+    beaten = first.where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("beaten"))
+    rest = asked.where("place > 0").join(beaten, "vec_id", "left").withColumn("beaten", F.coalesce("beaten", nothing))
+    names = ["query_id", "vec_id", "score"]
+    found = first.select(*names)
+    if lists > 1 and rest.take(1):
+        found = found.unionByName(scanned(rest))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -1,12 +1,14 @@
 """Shared-folder helpers of the training-data operators.
 
 Every intermediate table is written below ``spark.checkpoint.dir`` (a folder that the driver and all
-executors share), so that a lost executor costs only the tasks that it ran. Only where the setting is
-absent, as in local tests, a folder of this machine is used.
+executors share), so that a lost executor costs only the tasks that it ran. Where the setting is absent a local master gets a folder
+of this machine, any other an error. A session's tables lie in one folder: ``release`` drops a table that nothing reads any
+more, ``sweep`` the whole folder, at the latest when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -20,17 +22,38 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this machine's own only where none is named."""
+    """The cluster's shared folder; one of this machine's own only on a local master where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
+_sessions: dict[str, tuple[SparkSession, str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    key = spark.sparkContext.applicationId
+    if key not in _sessions:
+        if not _sessions:
+            atexit.register(sweep)
+        _sessions[key] = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    return f"{_sessions[key][1]}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep() -> None:
+    """Drop everything that this process wrote below the shared folder. Results that were not yet computed are lost with it."""
+    while _sessions:
+        spark, path = _sessions.popitem()[1]
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone by then, with whatever cleans up after it
+            pass
 
 
 def remove(spark: SparkSession, path: str) -> None:

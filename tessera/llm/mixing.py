@@ -3,16 +3,20 @@
 Targets: the budget (a share of all words) is split by weight, no source above ``cap`` times its words,
 the excess reshared by weight. Each source's documents are shuffled by a seeded hash; a document's virtual
 finish time is the source's words up to and with it, divided by the source's target, one turn after the
-other. Ordering all documents by that time (a global range sort) and truncating at the total budget,
-which is virtual time 1, gives every source its target at once. As in the fluid model that fair
-queueing follows, the document in service at the cut is served in part.
+other. All turns of all documents are put in order of that time (ranges of it, sorted inside), the sequence's running sum of
+words is formed, and the sequence is truncated where it reaches the total budget.
 
-Running sums never gather a source in one task: the hash order is cut into ``BUCKETS`` ranges per
-source, summed per range first, then inside each range. All of it is built-in functions.
+The mixed corpus is what lies before the cut, whole documents. The report then serves the documents in service at the
+cut in part, as the fluid model that fair queueing follows: what a source has more or less than its target by
+whole documents is given or taken at the border of its own queue, so sources hit their targets to a word.
+
+Running sums never gather a source or the sequence in one task: a source's hash order is cut into ``BUCKETS`` ranges and the
+virtual time into as many as hold about ``RANGE_ROWS`` turns each (sources fill them evenly), summed per range first, then inside each range.
+All of it is built-in functions.
 
 Defined results: null texts and texts without words have size 0 and take 0 words; a null source is a
-source of its own, the last in order; an empty table gives an empty table; repeated rows are documents
-of their own; further columns of the input are not read.
+source of its own, the last in order; a source without words takes nothing; an empty table gives an empty table; repeated rows are
+documents of their own; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, text_or_empty, word_count
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, 20_011
-BUCKETS = 4096
+BUCKETS, RANGE_ROWS = 4096, 8192
 #: Source tables of up to this many rows are broadcast, larger ones are shuffled.
 BROADCAST_SOURCES = 50_000
 
@@ -47,60 +51,96 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levels.select("skey", "source_size", F.coalesce(F.least("most", level * F.col("weight")), F.col("most")).alias("target"))
 
 
-def queue(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``columns`` of every document, with size, source_size, target and start (the source's words before it in its shuffled order)."""
+def queue(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, float]:
+    """``columns`` of every document, with skey, size, source_size, target and start (the source's words before it in its shuffled order); the budget."""
     text, source = text_or_empty(), F.col("source").cast("string")
+    tie = F.crc32(text.cast("binary"))
     keys = [
-        source.alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("order"), F.crc32(text.cast("binary")).alias("tie"),
+        source.alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", tie, F.lit(seed)).alias("order"), tie.alias("tie"),
         F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"),
     ]
     bucket = F.shiftright("order", 64 - BUCKETS.bit_length() + 1).cast("int")
-    # Sums read a table of keys; further columns pass the windows once and are never stored on the way.
-    sized = materialize(docs.select("doc_id", *keys), "mix-sizes").withColumn("bucket", bucket)
-    rows = sized if columns == ["doc_id"] else docs.select(*columns, *keys).withColumn("bucket", bucket)
+    # A table of keys: texts are read once and never shuffled.
+    sized = materialize(docs.select(*columns, *keys), "mix-sizes").withColumn("bucket", bucket)
     targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
-    few = targets.count() <= BROADCAST_SOURCES
+    sources, budget = targets.agg(F.count(F.lit(1)), F.sum("target")).first()
     ranges = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select("skey", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
     inner = W.partitionBy("skey", "bucket").orderBy("order", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["skey", "bucket"])
-    placed = placed.withColumn("start", F.col("base") + F.col("inside"))
-    return placed.join(F.broadcast(targets) if few else targets, "skey").drop("base", "inside", "bucket", "tie", "skey")
+    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["skey", "bucket"])
+    placed = placed.join(F.broadcast(targets) if sources <= BROADCAST_SOURCES else targets, "skey").withColumn("start", F.col("base") + F.col("inside"))
+    return materialize(placed.select(*columns, "skey", "size", "source_size", "target", "start"), "mix-queue"), budget or 0.0
+
+
+def turns(placed: DataFrame, cap: int = CAP) -> DataFrame:
+    """A row for each turn of a document of a source with a target: turn, at (words of its source before it) and finish (virtual)."""
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), (F.col("start") + F.col("source_size") * t).alias("at")) for t in range(cap)]))
+    spread = placed.where(F.col("target") > 0).withColumn("t", each).select("*", "t.*").drop("t")
+    return spread.withColumn("finish", (F.col("at") + F.col("size")) / F.col("target"))
+
 
+def running(sequence: DataFrame, ties: list[str]) -> DataFrame:
+    """Adds words: the sum of size up to and with each row, in order of (finish, ties)."""
+    count = sequence.count()
+    ranges = max(1, -(-count // RANGE_ROWS))
+    ranged = sequence.withColumn("range", F.floor(F.col("finish") * ranges).cast("long"))
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("words"))
+    # The windows over ranges are cut themselves: first into hundreds of ranges, then those.
+    high = sums.groupBy(F.expr("range div 512").alias("high")).agg(F.sum("words").alias("words"))
+    before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    high = high.select("high", before(W.partitionBy(F.lit(0)).orderBy("high")).alias("far"))
+    near = sums.withColumn("high", F.expr("range div 512")).withColumn("near", before(W.partitionBy("high").orderBy("range")))
+    bases = near.join(high, "high").select("range", (F.col("near") + F.col("far")).alias("base"))
+    inside = W.partitionBy("range").orderBy("finish", *ties).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.withColumn("inside", F.sum("size").over(inside)).join(bases, "range").withColumn("words", F.col("base") + F.col("inside")).drop("base", "inside", "range")
 
-def served(cap: int = CAP):
-    """Words served to a document by virtual time 1, over all its turns."""
-    cut = F.round("target").cast("long")
-    turns = [F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("start") - F.col("source_size") * t)) for t in range(cap)]
-    total = turns[0]
-    for t in turns[1:]:
-        total = total + t
-    return total.cast("long")
+
+def truncated(placed: DataFrame, budget: float, cap: int = CAP) -> DataFrame:
+    """The turns before the cut: the sorted sequence up to the total budget."""
+    sequence = materialize(turns(placed, cap), "mix-turns")
+    return running(sequence, ["skey", "turn", "start", "doc_id"]).where(F.col("words") <= F.lit(round(budget)))
 
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken and finish (virtual), ordered by finish over the whole table."""
-    placed = queue(docs, ["doc_id"], weights, share, cap, seed)
-    finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    return placed.select("doc_id", "size", "source_size", "target", served(cap).alias("taken"), finish.alias("finish")).orderBy("finish", "doc_id")
+    """doc_id, size, source_size, target, taken, and whole (its words before the cut of the sequence, in whole documents)."""
+    placed, budget = queue(docs, ["doc_id"], weights, share, cap, seed)
+    # A source's turns before the cut are the first of its queue: their words are the place where its queue is cut.
+    cuts = truncated(placed, budget, cap).groupBy("skey").agg(F.sum("size").alias("end"))
+    cuts = materialize(cuts, "mix-cuts")
+    few = cuts.count() <= BROADCAST_SOURCES
+    cut = placed.join(F.broadcast(cuts) if few else cuts, "skey", "left").withColumn("end", F.coalesce("end", F.lit(0)))
+    # What whole documents leave to the source's target, or have beyond it, is served by or taken back from those at the border.
+    border = F.round("target").cast("long") - F.col("end")
+
+    def served(end):
+        total = F.lit(0)
+        for t in range(cap):
+            total = total + F.greatest(F.lit(0), F.least(F.col("size"), end - F.col("start") - F.col("source_size") * t))
+        return total.cast("long")
+
+    return cut.select("doc_id", "size", "source_size", "target", served(F.col("end") + border).alias("taken"), served(F.col("end")).alias("whole"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: whole rows of ``docs`` in fair order, a row again for each further turn.
+    """The mixed corpus: the rows of ``docs`` that the truncated sequence holds, a row again for each further turn.
 
-    A turn of a document is in the mix if the middle of its service lies before the cut, so a source
-    misses its target by half a document at most. A document without words goes along once if its place
-    lies before the cut.
+    The sequence is formed on keys; its turns meet the rows by a digest of the row, so whole rows are shuffled once. Rows that are
+    equal in all columns (maps aside) count as copies of one. A document without words goes along once if its place lies before the cut.
     """
     names = docs.columns
-    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(c) for c in names]).alias("__row"))
-    placed = queue(packed, ["doc_id", "__row"], weights, share, cap, seed)
-    turns = placed.select("__row", "size", "target", "doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), (F.col("start") + F.col("source_size") * t).alias("at")) for t in range(cap)])).alias("t"))
-    middle = F.col("t.at") + F.col("size") / 2
-    kept = turns.where((middle < F.col("target")) & ((F.col("size") > 0) | (F.col("t.turn") == 0)))
-    ordered = kept.withColumn("finish", (F.col("t.at") + F.col("size")) / F.col("target")).orderBy("finish", "doc_id")
-    return ordered.select(*[F.col("__row")[c].alias(c) for c in names])
+    held = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in held])
+    keyed = docs.select("doc_id", "text", "source", digest.alias("__row"))
+    placed, budget = queue(keyed, ["doc_id", "__row"], weights, share, cap, seed)
+    kept = truncated(placed, budget, cap).where((F.col("size") > 0) | (F.col("turn") == 0))
+    wanted = placed.groupBy("__row").agg(F.count(F.lit(1)).alias("__held")).join(kept.groupBy("__row").agg(F.count(F.lit(1)).alias("__times")), "__row")
+    wanted = materialize(wanted, "mix-wanted")
+    found = docs.withColumn("__row", digest).join(wanted, "__row")
+    if wanted.where("__held > 1").take(1):
+        found = found.where("__held = 1").unionByName(found.where("__held > 1").dropDuplicates(["__row"]))
+    times = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
+    return found.withColumn("__time", times).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,27 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """A repeated id is asked once, with its smallest vector; its rows are candidates of their own."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 16))
+    ids = np.arange(900)
+    ids[:3], ids[7:9] = 0, 7
+    x[100:160] = x[200]
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    got = ann.search(spark.createDataFrame([*rows, *rows[100:140]], "vec_id long, embedding array<double>"), probes=999).toPandas()
+    ids, x = np.concatenate([ids, ids[100:140]]), np.concatenate([x, x[100:140]])
+    assert sorted(set(got.query_id)) == list(range(0, 900, 20)) and (got.groupby("query_id").size() == 20).all()
+    hit = 0
+    for q in range(0, 900, 20):
+        y = min(x[ids == q].tolist())
+        s = np.array([np.dot(v, y) for v in x])
+        best = sorted((-round(float(a), 9), int(i)) for a, i in zip(s, ids) if i != q)[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        hit += (Counter((-round(a, 9), i) for a, i in zip(mine.score, mine.vec_id)) & Counter(best)).total()
+    assert hit >= 0.98 * len(got)
+
+
 def test_ann_recall_without_clusters(spark):
     x = np.random.default_rng(2).standard_normal((6000, 64)).astype(np.float32)
     got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
@@ -448,4 +469,39 @@ def test_mixing(docs, empty):
     again = mixing.mix_report(docs).toPandas()
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
     assert mixing.mix_report(empty).count() == 0
-    assert mixing.mix_documents(docs).columns == docs.columns
+    assert mixing.mix_documents(docs).schema == docs.schema and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixing_cuts_the_sorted_sequence(docs):
+    """Every document's words against a loop over the sorted sequence."""
+    keyed = docs.select("doc_id", "text", "source").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("order", F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(mixing.SEED)))
+    target = {(r.doc_id): (r.target, r.source_size) for r in mixing.mix_report(docs).collect()}
+    queues: dict = {}
+    for r in sorted(keyed.collect(), key=lambda r: (r.order, r.doc_id, len(r.text.encode().split()))):
+        queues.setdefault(r.source, []).append((r.doc_id, len(r.text.encode().split())))
+    sequence, border, full = [], {}, {}
+    for source, held in queues.items():
+        goal, every = target[held[0][0]]
+        assert every == sum(n for _, n in held)
+        at = 0
+        for turn in range(2):
+            for doc, n in held:
+                if goal > 0:
+                    sequence.append(((at + n) / goal, "n" if source is None else f"s{source}", turn, at - every * turn, doc, n, source))
+                border[doc] = border.get(doc, 0) + max(0, min(n, round(goal) - at))
+                at += n
+    total = 0
+    for _, _, _, _, doc, n, _ in sorted(sequence):
+        total += n
+        if total > round(sum({s: target[q[0][0]][0] for s, q in queues.items()}.values())):
+            break
+        full[doc] = full.get(doc, 0) + n
+    got = mixing.mix_report(docs).toPandas().groupby("doc_id")[["taken", "whole"]].sum()
+    copies = Counter(r.doc_id for r in keyed.collect())
+    for doc in got.index:
+        assert got.taken[doc] == border[doc] and got.whole[doc] == full.get(doc, 0), (doc, copies[doc])
+    mixed = Counter((r.doc_id, r.text) for r in mixing.mix_documents(docs).collect())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for doc, n in got.whole.items():
+        if words := len((text[doc] or "").encode().split()):
+            assert mixed[doc, text[doc]] * words == n
