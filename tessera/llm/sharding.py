@@ -7,28 +7,27 @@ that is the weighted median at every node. The point is found by histograms: eac
 negligible or one single key. Keys are the dimension's value followed by bits of the text's and the
 document's hash, so ties (a hot source, a group of copies) can be cut anywhere.
 
-A document larger than 1/``HEAVY`` of a shard can't be divided by any median; there are at most
-shards x ``HEAVY`` of these. They are dealt first, largest to the emptiest shard, and the tree then
-fills up the rest of each shard. Everything is built-in functions; the driver sees the tree and the
-heavy documents' ids, both bounded by the number of shards.
+No point divides a document. Where one larger than 1/``HEAVY`` of a shard lies across the median it goes to one side whole, and
+the light documents' point of that node is moved along the same dimension until the bytes balance again: a node cuts its
+heavy documents at the median of all, its light ones beside it. Every document is a weighted point of the tree. Everything is built-in
+functions; the driver sees the tree, a few numbers for each shard.
 
 Law ``bytes``: shards' sizes are near equal. Slots run gapless from 0 in each shard; they are counted
 in hash buckets, so no task holds a shard.
 
 Defined results: null texts count as empty (0 bytes plus 8, crc32 0); null metadata sort lowest; repeated
-rows are documents of their own; an empty table gives an empty table; further columns are not read.
+rows are documents of their own; a document larger than a shard makes its shard larger; an empty table gives an empty table;
+further columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, text_or_empty, values
 
-SHARDS, BINS, HEAVY, SLOT_BUCKETS = 24, 32768, 32, 256
+SHARDS, BINS, HEAVY, SLOT_BUCKETS = 24, 4096, 32, 256
 #: A split point may miss by this part of a shard.
 TOLERANCE = 0.0005
 TIE_BITS = 32
@@ -61,19 +60,6 @@ def document_meta(docs: DataFrame) -> DataFrame:
     return materialize(raw.select("doc_id", "size", "text_crc32", F.array(*keys).alias("keys")), "shard-keys")
 
 
-def deal_heavy(meta: DataFrame, shards: int, total: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """(doc_id, size, crc, shard) of the documents over total / (shards x HEAVY) bytes, and the bytes that they give each shard."""
-    heavy = meta.where(F.col("size") > total / (shards * HEAVY)).where(F.col("doc_id").isNotNull())
-    rows = heavy.groupBy("doc_id", "size", "text_crc32").count().where("count = 1").orderBy(F.desc("size"), "doc_id", "text_crc32").collect()
-    heap, load, dealt = [(0, s) for s in range(shards)], [0] * shards, []
-    for r in rows:
-        held, s = heapq.heappop(heap)
-        dealt.append((r.doc_id, r["size"], r.text_crc32, s))
-        load[s] = held + r["size"]
-        heapq.heappush(heap, (load[s], s))
-    return dealt, load
-
-
 def split_points(placed: DataFrame, goals: dict[int, tuple[int, float]], spans: dict[int, list], tolerance: float) -> dict[int, int]:
     """goals: node -> (dimension, bytes wanted left); spans: node -> [least key, largest key, 0]. Returns node -> largest key that goes left."""
     spark = placed.sparkSession
@@ -101,22 +87,30 @@ def split_points(placed: DataFrame, goals: dict[int, tuple[int, float]], spans:
     return found
 
 
+def cut_points(placed: DataFrame, goals: dict[int, tuple[int, float]], spans: dict[int, list], tolerance: float, heavy: float | None) -> dict[int, tuple[int, int]]:
+    """Node -> largest keys that go left, of documents up to ``heavy`` bytes and of larger ones (None: there are none)."""
+    points = split_points(placed, goals, {n: list(x) for n, x in spans.items()}, tolerance)
+    moved: dict[int, int] = {}
+    if heavy is not None:
+        asked = values(placed.sparkSession, [(n, goals[n][0], points[n]) for n in goals], "node long,dim int,point long")
+        over = placed.where(F.col("size") > heavy).join(F.broadcast(asked), "node")
+        left = over.groupBy("node").agg(F.sum(F.when(F.element_at("keys", F.col("dim") + 1) <= F.col("point"), F.col("size")).otherwise(0)).alias("left")).collect()
+        light = {r.node: (goals[r.node][0], goals[r.node][1] - r.left) for r in left}
+        if light:
+            moved = split_points(placed.where(F.col("size") <= heavy), light, {n: list(spans[n]) for n in light}, tolerance)
+    return {n: (moved.get(n, point), point) for n, point in points.items()}
+
+
 def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard: ``shards`` leaves, or as many as ``target_bytes`` asks for."""
+    """doc_id, size, text_crc32, shard: ``shards`` leaves, or as many as hold ``target_bytes`` each."""
     spark = docs.sparkSession
     meta = document_meta(docs)
-    total = meta.agg(F.sum("size")).first()[0] or 0
+    total, largest = meta.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
-    dealt, load = deal_heavy(meta, shards, total)
     mean = total / shards
-    goal = [max(0.0, mean - x) for x in load]
-    if dealt:
-        heavy = values(spark, dealt, "doc_id long,size long,text_crc32 long,heavy int")
-        placed = meta.join(F.broadcast(heavy), ["doc_id", "size", "text_crc32"], "left")
-    else:
-        placed = meta.withColumn("heavy", F.lit(None).cast("int"))
-    placed = placed.withColumn("node", F.when(F.col("heavy").isNull(), F.lit(0).cast("long")))
+    heavy = mean / HEAVY if largest > mean / HEAVY else None
+    placed = meta.withColumn("node", F.lit(0).cast("long"))
     leaves, open_nodes, fresh, level = {}, {0: (0, shards)}, 1, 0
     while open_nodes:
         leaves |= {n: first for n, (first, count) in open_nodes.items() if count == 1}
@@ -124,33 +118,33 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None =
         if not open_nodes:
             break
         dims = range(len(dimensions()))
-        spread = placed.where(F.col("node").isin(*open_nodes) if len(open_nodes) <= 200 else F.col("node").isNotNull())
+        # Leaves of earlier levels are left out; their numbers lie below those of the open nodes or are few.
+        spread = placed.where(F.col("node") >= min(open_nodes))
         spread = spread.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(F.col("keys")[d]).alias(f"{name}{d}") for d in dims for f, name in ((F.min, "low"), (F.max, "high"))])
         stats = {r.node: r for r in spread.collect() if r.node in open_nodes}
         goals, spans, splits, after = {}, {}, [], {}
         for n, (first, count) in open_nodes.items():
             half = count // 2
-            want, every = sum(goal[first : first + half]), sum(goal[first : first + count])
             left, right = fresh, fresh + 1
             fresh += 2
             after |= {left: (first, half), right: (first + half, count - half)}
             if n in stats:
                 r = stats[n]
                 widest = max(dims, key=lambda d: ((r[f"high{d}"] >> TIE_BITS) - (r[f"low{d}"] >> TIE_BITS), -d))
-                goals[n] = (widest, r.bytes * (want / every if every else half / count))
+                goals[n] = (widest, r.bytes * half / count)
                 spans[n] = [r[f"low{widest}"], r[f"high{widest}"], 0]
                 splits.append((n, left, right))
-        points = split_points(placed, goals, spans, TOLERANCE * mean) if goals else {}
-        cuts = values(spark, [(n, goals[n][0], points[n], a, b) for n, a, b in splits], "node long,dim int,point long,below long,above long")
+        points = cut_points(placed, goals, spans, TOLERANCE * mean, heavy) if goals else {}
+        cuts = values(spark, [(n, goals[n][0], *points[n], a, b) for n, a, b in splits], "node long,dim int,light long,heavy long,below long,above long")
+        point = F.when(F.col("size") <= F.lit(heavy), F.col("light")).otherwise(F.col("heavy")) if heavy is not None else F.col("light")
         placed = placed.join(F.broadcast(cuts), "node", "left").withColumn(
-            "node", F.when(F.col("dim").isNull(), F.col("node")).when(F.element_at("keys", F.col("dim") + 1) <= F.col("point"), F.col("below")).otherwise(F.col("above"))
-        ).drop("dim", "point", "below", "above")
+            "node", F.when(F.col("dim").isNull(), F.col("node")).when(F.element_at("keys", F.col("dim") + 1) <= point, F.col("below")).otherwise(F.col("above"))
+        ).drop("dim", "light", "heavy", "below", "above")
         open_nodes, level = after, level + 1
         if level % 4 == 0:
             placed = materialize(placed, "shard-level")
-    named = values(spark, list(leaves.items()), "node long,leaf int")
-    placed = placed.join(F.broadcast(named), "node", "left").withColumn("shard", F.coalesce("heavy", "leaf"))
-    return placed.select("doc_id", "size", "text_crc32", "shard")
+    named = values(spark, list(leaves.items()), "node long,shard int")
+    return placed.join(F.broadcast(named), "node", "left").select("doc_id", "size", "text_crc32", "shard")
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
