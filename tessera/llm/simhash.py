@@ -8,10 +8,11 @@ fingerprint is zero.
 Links: equal fingerprints are one point. A vantage-point tree is grown on a bounded sample; a node splits
 by distance to its vantage point at a median m, and a point goes inside if its distance is at most m + r,
 outside if it is over m. Two points within r of each other then share a side at every node (triangle
-bound), so a pair is found in some leaf, and the leaves are independent shards. A shard grows its own
+bound), so a pair is found in some leaf, and the leaves are independent shards. Shards of over ``SHARD_POINTS`` points are dealt
+again by trees of their own, grown on samples of theirs by the executors, until none is larger; one that no split helps is compared
+as pairs of blocks. So a task's points are bounded whatever the table. A shard grows its own
 tree the same way down to leaves of ``LEAF`` points, compares there, and returns its components as stars, never
 all pairs. Stars of all shards are joined by alternating large-star and small-star rounds over tables.
-A shard can't be flooded: a ball of radius 3 has 43,745 fingerprints at most, and wider sets are split.
 
 ``near_duplicates`` finds texts with a given Jaccard similarity of shingle sets. At similarity 0.8 two
 fingerprints differ in about 10 of 64 bits, and no radius holds all such pairs (more so where lines repeat), while
@@ -29,7 +30,9 @@ equal texts are always linked; an empty table gives an empty table; further colu
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, release, text_or_empty
 
 SEED, RADIUS = 42, 3
-SAMPLE, SHARD_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 256, 6
+#: SHARD_POINTS: points that a task compares (some 10 CPU seconds, 1 MB); DEAL_POINTS: points that a task deals out at once.
+SAMPLE, SHARD_POINTS, DEAL_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 65_536, 256, 6
 BANDS, ROWS, GROUP_BLOCK, GROUP_SHINGLES, FEW = 6, 2, 8192, 1 << 22, 8
 #: Up to so many texts with a partner are told to the readers of the shingle sets, so that the others' sets stay where they are.
 BROADCAST_NODES = 2_000_000
@@ -211,18 +215,56 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
 STAR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def shard_trees(points: DataFrame, big: DataFrame, radius: int, most: int, turn: int) -> DataFrame:
+    """shard, n, tree: a tree for each shard of ``big`` (shard, n), grown on about ``SAMPLE`` of its points; null where no split pays."""
+
+    def plant(table: pa.Table) -> pa.Table:
+        sample = np.unique(table["fp"].to_numpy()).view(np.uint64)
+        n = table["n"][0].as_py()
+        # Leaves are held somewhat below the bound, since the sample only tells their sizes roughly.
+        nodes = grow(sample, radius, max(2, 0.8 * most * len(sample) / n), np.random.default_rng(SEED))
+        return pa.table([table["shard"][:1], table["n"][:1], pa.array([json.dumps(nodes) if nodes else None], pa.string())], ["shard", "n", "tree"])
+
+    rate = F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE)).cast("long")
+    sample = points.join(big, "shard").where(F.pmod(F.xxhash64("fp", F.lit(SEED + turn)), rate) == 0)
+    return sample.select("shard", "n", "fp").groupBy("shard").applyInArrow(plant, "shard long, n long, tree string")
+
+
+def shards_of(points: DataFrame, radius: int, most: int | None = None) -> DataFrame:
+    """shard, a, b, fp: shards of at most ``most`` points, or pairs of such blocks; every pair within the radius meets in one."""
+    most = most or SHARD_POINTS
+    placed, done, turn = points.select(F.lit(0).cast("long").alias("shard"), "fp"), [], 0
+
+    def deal(key, rows: pa.Table, trees: pa.Table) -> pa.Table:
+        fps = rows["fp"].to_numpy()
+        nodes = json.loads(trees["tree"][0].as_py())
+        got = list(route(fps.view(np.uint64), nodes, radius))
+        shard = np.concatenate([np.full(len(r), xxhash.xxh64_intdigest(f"{key[0].as_py()}/{leaf}", SEED) - (1 << 63), np.int64) for leaf, r in got])
+        return pa.table([pa.array(shard), pa.array(fps[np.concatenate([r for _, r in got])])], ["shard", "fp"])
+
+    while True:
+        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        big = materialize(sizes.where(F.col("n") > most), "simhash-big")
+        if not big.take(1):
+            return functools.reduce(DataFrame.unionByName, [placed.select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp"), *done])
+        trees = materialize(shard_trees(placed, big, radius, most, turn), "simhash-trees")
+        done.append(placed.join(big, "shard", "left_anti").select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp"))
+        whole = trees.where("tree is null")
+        if whole.take(1):
+            blocks = F.ceil(F.col("n") / most).cast("int")
+            dense = placed.join(whole.select("shard", blocks.alias("blocks")), "shard").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            dense = dense.select("shard", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            done.append(dense.select("shard", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp"))
+        slices = F.ceil(F.col("n") / DEAL_POINTS).cast("int")
+        split = trees.where("tree is not null").withColumn("slices", slices)
+        left = placed.join(split.select("shard", "slices"), "shard").withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("slices")).cast("int"))
+        right = split.select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "tree")
+        placed = left.groupBy("shard", "slice").cogroup(right.groupBy("shard", "slice")).applyInArrow(deal, "shard long, fp long")
+        placed, turn = materialize(placed, "simhash-shards"), turn + 1
+
+
 def hamming_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: stars that connect all distinct ``fp`` values within the radius."""
-    count = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
-    leaf = max(LEAF, SHARD_POINTS * len(sample) / max(1, count))
-    nodes = grow(sample, radius, leaf, np.random.default_rng(SEED)) if len(sample) else []
-
-    def deal(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for shard, rows in route(fps.view(np.uint64), nodes, radius):
-                yield pa.record_batch([pa.array(np.full(len(rows), shard, np.int32)), pa.array(fps[rows])], ["shard", "fp"])
 
     def shard(table: pa.Table) -> pa.Table:
         fps = np.unique(table["fp"].to_numpy())
@@ -230,7 +272,7 @@ def hamming_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         linked = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table([pa.array(fps[linked]), pa.array(fps[label[linked]])], schema=STAR)
 
-    return points.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(shard, "u long, v long")
+    return shards_of(points, radius).groupBy("shard", "a", "b").applyInArrow(shard, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -227,6 +227,39 @@ def test_vantage_points(radius, monkeypatch):
     assert simhash.components(points, radius).tolist() == want
 
 
+def test_shards_stay_small(spark):
+    """Ten times the points, no larger shard, and no link lost; a set that no split helps is compared in blocks."""
+    rng = np.random.default_rng(11)
+
+    def points(n):
+        base = rng.integers(-(2**63), 2**63, n)
+        return np.unique(np.concatenate([base, base[: n // 5] ^ (1 << rng.integers(0, 60, n // 5)) ^ (1 << rng.integers(0, 60, n // 5))]))
+
+    def largest(fps, most):
+        table = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+        rows = simhash.shards_of(table, 3, most).toPandas()
+        held = {}
+        for (shard, a, b), part in rows.groupby(["shard", "a", "b"]):
+            held[shard, a, b] = set(part.fp)
+        return max(map(len, held.values())), list(held.values())
+
+    for n in (2000, 20_000):
+        fps = points(n)
+        most, shards = largest(fps, 1000)
+        assert most <= 1000
+        pairs = [p for i, j in simhash.pair_blocks(fps.view(np.uint64), 3) for p in zip(fps[i].tolist(), fps[j].tolist())]
+        assert len(pairs) >= n // 5
+        where = {}
+        for k, s in enumerate(shards):
+            for x in s:
+                where.setdefault(x, set()).add(k)
+        assert all(where[a] & where[b] for a, b in pairs)
+    ball = np.unique([sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 8), replace=False)) for _ in range(6000)])
+    most, shards = largest(ball, 500)
+    assert most <= 1000 and len(shards) > 1
+    assert all(any(a in s and b in s for s in shards) for a, b in rng.choice(ball, (200, 2)).tolist() if (a ^ b).bit_count() <= 3)
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(30)] + [(100, 101), (101, 102), (5, 5)]
     got = {r.u: r.v for r in simhash.connected(spark.createDataFrame(chain, "u long, v long")).collect()}
