@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import text_or_empty
 
-CACHE_PIECES, CACHE_BYTES = 700_000, 16 << 20
+CACHE_PIECES, CACHE_BYTES = 400_000, 16 << 20
 #: Cells of one array of trees.
 TREE_CELLS = 1 << 21
 NONE = np.iinfo(np.int64).max
@@ -140,7 +140,8 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
+        # The library's normaliser and pre-tokenizer, without a second copy of the vocabulary.
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]

@@ -46,7 +46,7 @@ from tessera.llm.common import materialize, release, text_or_empty
 SEED, RADIUS = 42, 3
 #: SHARD_POINTS: points that a task compares (some 10 CPU seconds, 1 MB); DEAL_POINTS: points that a task deals out at once.
 SAMPLE, SHARD_POINTS, DEAL_POINTS, LEAF, CANDIDATES = 20_000, 65_536, 65_536, 256, 6
-BANDS, ROWS, GROUP_BLOCK, GROUP_SHINGLES, FEW = 6, 2, 8192, 1 << 22, 8
+BANDS, ROWS, GROUP_BLOCK, GROUP_SHINGLES, FEW = 6, 2, 8192, 1 << 21, 8
 #: Up to so many texts with a partner are told to the readers of the shingle sets, so that the others' sets stay where they are.
 BROADCAST_NODES = 2_000_000
 
