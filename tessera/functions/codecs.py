@@ -229,6 +229,22 @@ def zstd_chunks(data: bytes, chunk: int, level: int = ZSTD_LEVEL) -> list[bytes]
     return [zstd_encode(data[a : a + chunk], level) for a in range(0, len(data), chunk)]
 
 
+def zstd_unchunk(chunks: list[bytes]) -> bytes:
+    return b"".join(map(zstd_decode, chunks))
+
+
+def read_bits_msb(data: bytes, widths: list[int]) -> list[int]:
+    """Numbers of up to 32 bits, most significant bit first."""
+    whole, left = int.from_bytes(data, "big"), 8 * len(data)
+    out = []
+    for n in widths:
+        left -= n
+        if left < 0 or n > 32:
+            raise ValueError("not enough bits, or more than 32 at once")
+        out.append(whole >> left & (1 << n) - 1)
+    return out
+
+
 #: In order of preference on ties.
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "ans12": (lambda d: rans_encode(d, 12), lambda d: rans_decode(d, 12)),

@@ -16,19 +16,24 @@ FENCE = "```"
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A[{WS}]+", ""), rf"[{WS}]+\z", "")
+    # The look-behind lets a run of blanks be tried once, at its start.
+    return F.regexp_replace(F.regexp_replace(text, rf"\A[{WS}]+", ""), rf"(?<![{WS}])[{WS}]+\z", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~F.regexp_like(text, F.lit(rf"[^{WS}]"))
 
 
 def clean(text: Column) -> Column:
     """Trimmed non-blank lines joined by a space, without characters that are neither ASCII nor blank. Inner spaces and case stay."""
-    lines = F.filter(F.transform(F.split(trim_ws(text), "\n"), trim_ws), lambda line: line != "")
-    return F.regexp_replace(F.array_join(lines, " "), rf"[^\x{{0}}-\x{{7F}}{WS}]", "")
+    joined = F.regexp_replace(trim_ws(text), rf"(?<![{WS}])[{WS}]*\n[{WS}]*", " ")
+    return F.regexp_replace(joined, rf"[^\x{{0}}-\x{{7F}}{WS}]", "")
 
 
 def clean_status(raw: Column, cleaned: Column) -> Column:
     """ok, empty_input (blank, or empty after cleaning) or too_long (more than MAX_INPUT_BYTES bytes after cleaning)."""
     return (
-        F.when(raw.isNull() | (trim_ws(raw) == "") | (trim_ws(cleaned) == ""), "empty_input")
+        F.when(raw.isNull() | is_blank(raw) | is_blank(cleaned), "empty_input")
         .when(F.octet_length(cleaned) > MAX_INPUT_BYTES, "too_long")
         .otherwise("ok")
     )
@@ -72,6 +77,10 @@ def locale_language(locale: Column) -> Column:
     return F.when(head.isin("pt", "es", "fr", "it", "de"), head).otherwise("en")
 
 
+def now_ms() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
 def message_time(ts_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ts_ms), "HH:mm")
 

@@ -91,6 +91,15 @@ def has_flag(flags: Column, flag: int) -> Column:
     return flags.bitwiseAND(F.lit(flag)) != 0
 
 
+def set_bits(flags: Column) -> Column:
+    return F.bit_count(flags)
+
+
+def vector_count(flat: Column, dims: int) -> Column:
+    """Number of vectors in a flat array; null where a part of one is left over."""
+    return F.when(F.size(flat) % dims == 0, F.floor(F.size(flat) / dims))
+
+
 def vector_id_status(ident: Column) -> Column:
     return F.when(ident.isNull() | (ident == 0), "zero_id").otherwise("ok")
 

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -105,10 +106,25 @@ def ml_kmeans(rows: DataFrame, k: int, column: str = "embedding", seed: int = 42
 
 
 def covariance(rows: DataFrame, dims: int, column: str = "embedding") -> DataFrame:
-    """i, j, cov for i <= j: population covariance of the first ``dims`` components, in one aggregation."""
-    x = [F.col(column)[i].cast("double") for i in range(dims)]
-    got = rows.agg(*[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)])
-    return got.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("cov")) for i in range(dims) for j in range(i, dims)])))
+    """i, j, cov for i <= j: population covariance. Tasks add up their vectors' products in numpy; only dims x dims sums are shuffled.
+
+    Vectors that are null or have another dimension take no part.
+    """
+
+    def sums(batches):
+        total, square, n = np.zeros(dims), np.zeros((dims, dims)), 0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+                total, square, n = total + x.sum(axis=0), square + x.T @ x, n + len(x)
+        if n:
+            i, j = np.triu_indices(dims)
+            yield pa.record_batch([pa.array(c) for c in (i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), total[i], total[j], square[i, j])], ["i", "j", "n", "x", "y", "xy"])
+
+    usable = rows.select(F.col(column).alias("v")).where((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull()))
+    parts = usable.mapInArrow(sums, "i int, j int, n long, x double, y double, xy double").groupBy("i", "j")
+    whole = parts.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("x", "y", "xy")])
+    return whole.select("i", "j", (F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n")).alias("cov"))
 
 
 @dataclass
@@ -162,18 +178,60 @@ def check_dims(dims: int, m: int) -> int:
     return dims // m
 
 
-def train_codebook(rows: DataFrame, dims: int, m: int, bits: int = 8, column: str = "embedding", seed: int = 42, max_iters: int = MAX_ITERS) -> Codebook:
-    """Standard product quantization: k-means in every sub-space, 2^bits centroids each."""
-    sub = check_dims(dims, m)
-    books = []
-    for i in range(m):
-        part = rows.select(F.slice(F.col(column), i * sub + 1, sub).alias("sub"))
-        books.append(kmeans(part, 1 << bits, "sub", max_iters=max_iters, seed=seed + i).centroids)
-    return Codebook(books, m)
+def train_codebook(rows: DataFrame, dims: int, m: int, bits: int = 8, column: str = "embedding", seed: int = 42, max_iters: int = MAX_ITERS, tolerance: float = TOLERANCE, sample: int = 16_384) -> Codebook:
+    """Standard product quantization: k-means in every sub-space, 2^bits centroids each; all sub-spaces share a job per step.
+
+    Starts are random vectors of a bounded sample in hash order; a centroid without vectors keeps its place. Every vector takes part in
+    every step; tasks return sums and counts per centroid.
+    """
+    sub, k = check_dims(dims, m), 1 << bits
+    usable = rows.select(F.col(column).cast("array<double>").alias("v")).where((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull()))
+    got = usable.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(max(sample, k)).toArrow()["v"].combine_chunks()
+    points = got.flatten().to_numpy(zero_copy_only=False).reshape(-1, m, sub)
+    if len(points) < k:
+        raise ValueError("insufficient samples")
+    centroids = points[np.random.default_rng(seed).choice(len(points), k, replace=False)].transpose(1, 0, 2).copy()
+    held = usable.persist()
+    try:
+        for _ in range(max_iters):
+
+            def sums(batches, centroids=centroids):
+                total, n = np.zeros((m, k, sub)), np.zeros((m, k), np.int64)
+                for batch in batches:
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m, sub)
+                    near = nearest_codes(x, centroids)
+                    for i in range(m):
+                        np.add.at(total[i], near[:, i], x[:, i])
+                        n[i] += np.bincount(near[:, i], minlength=k)
+                at, code = np.nonzero(n)
+                if len(at):
+                    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(n[at, code]), pa.array(total[at, code].tolist(), pa.list_(pa.float64()))], ["m", "k", "n", "total"])
+
+            parts = held.mapInArrow(sums, "m int, k int, n long, total array<double>").groupBy("m", "k")
+            fresh = centroids.copy()
+            for r in parts.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(sub)]).alias("total")).collect():
+                fresh[r.m, r.k] = np.array(r.total) / r.n
+            moved, centroids = np.sqrt(((fresh - centroids) ** 2).sum(axis=2)).max(), fresh
+            if moved <= tolerance:
+                break
+    finally:
+        held.unpersist()
+    return Codebook(centroids.tolist(), m)
+
+
+def nearest_codes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """vectors x m codes. x: vectors x m x sub, centroids: m x k x sub."""
+    out = np.empty(x.shape[:2], np.int16)
+    for a in range(0, len(x), 2048):
+        for i in range(x.shape[1]):
+            out[a : a + 2048, i] = ((x[a : a + 2048, i, None, :] - centroids[i][None]) ** 2).sum(axis=2).argmin(axis=1)
+    return out
 
 
 def encode(vector: Column, book: Codebook) -> Column:
-    """ARRAY<SMALLINT> of m codes; null for a vector of other dimension."""
+    """ARRAY<SMALLINT> of m codes; null for a vector of other dimension. A codebook of over ``LITERALS`` numbers goes through numpy batches."""
+    if book.m * book.k * book.sub_dims > LITERALS:
+        return encode_udf(book)(vector)
     codes = [nearest_centroid(F.slice(vector, m * book.sub_dims + 1, book.sub_dims), book.of(m)).cast("smallint") for m in range(book.m)]
     return F.when(F.size(vector) == book.m * book.sub_dims, F.array(*codes))
 
@@ -184,23 +242,40 @@ def encode_udf(book: Codebook):
 
     @F.pandas_udf("array<smallint>")
     def run(vectors: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None or len(v) != book.m * book.sub_dims:
-                return None
-            d = ((np.asarray(v, float).reshape(book.m, 1, -1) - centroids) ** 2).sum(axis=2)
-            return d.argmin(axis=1).astype(np.int16)
-
-        return vectors.map(one)
+        fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == book.m * book.sub_dims]
+        out: list[np.ndarray | None] = [None] * len(vectors)
+        if fits:
+            x = np.stack([np.asarray(vectors.iloc[i], float) for i in fits]).reshape(len(fits), book.m, -1)
+            for i, codes in zip(fits, nearest_codes(x, centroids)):
+                out[i] = codes
+        return pd.Series(out)
 
     return run
 
 
 def decode(codes: Column, book: Codebook) -> Column:
-    """Concatenated centroids; null where a code or the number of codes is off."""
+    """Concatenated centroids; null where a code or the number of codes is off. A large codebook goes through numpy batches."""
+    if book.m * book.k * book.sub_dims > LITERALS:
+        return decode_udf(book)(codes)
     parts = [F.get(literal_vectors(book.of(m)), F.get(codes, m).cast("int")) for m in range(book.m)]
     return F.when(F.size(codes) == book.m, F.flatten(F.array(*parts)))
 
 
+def decode_udf(book: Codebook):
+    centroids = np.array([book.of(m) for m in range(book.m)])
+
+    @F.pandas_udf("array<double>")
+    def run(codes: pd.Series) -> pd.Series:
+        def one(c):
+            if c is None or len(c) != book.m or not all(0 <= x < book.k for x in c):
+                return None
+            return centroids[np.arange(book.m), np.asarray(c, int)].ravel()
+
+        return pd.Series([one(c) for c in codes])
+
+    return run
+
+
 def lookup_table(query: Column, book: Codebook) -> Column:
     """ARRAY<ARRAY<DOUBLE>>: squared distances of each query part and centroid."""
 
@@ -237,6 +312,18 @@ def write_lists(rows: DataFrame, coarse: list[list[float]], path: str, column: s
     placed(rows, coarse, column).write.mode("overwrite").partitionBy("centroid").parquet(path)
 
 
+def search_lists(lists: DataFrame, queries: DataFrame, coarse: list[list[float]], nprobe: int, top_k: int, column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, distance (squared l2): nearest rows in each query's ``nprobe`` nearest lists. lists: as ``placed`` gives them.
+
+    A query meets only the lists that it asks for, by an equi-join on the list.
+    """
+    marked = F.transform(literal_vectors(coarse), lambda c, i: F.struct(V.l2_squared(F.col("query"), c).alias("d"), i.alias("k")))
+    asked = queries.withColumn("centroid", F.explode(F.transform(F.slice(F.array_sort(marked), 1, nprobe), lambda x: x["k"])))
+    scored = lists.join(asked, "centroid").select("query_id", "vec_id", F.round(V.l2_squared(F.col("query"), F.col(column)), 6).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "distance")
+
+
 def probe(lists: DataFrame, query: list[float], coarse: list[list[float]], nprobe: int) -> DataFrame:
     """The rows of the query's nearest lists."""
     near = np.argsort(((np.array(coarse) - np.array(query)) ** 2).sum(axis=1), kind="stable")[:nprobe]

@@ -1,12 +1,14 @@
 """Nearest rows per query.
 
-The queries are broadcast only if there are at most ``BROADCAST_QUERIES``; beyond that they are compared in
-blocks (a query set against all rows). Each block keeps its k best per query before the one shuffle on the
+The queries are broadcast only if there are at most ``BROADCAST_QUERIES``; beyond that they are dealt by hash to blocks of about
+half as many, and each block is broadcast in turn (a query set against all rows). Each block keeps its k best per query before the one shuffle on the
 query id.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -16,10 +18,20 @@ BROADCAST_QUERIES = 10_000
 
 
 def pairs(queries: DataFrame, rows: DataFrame, same: Column | None = None) -> DataFrame:
-    """Every query with every row, queries broadcast while their number is bounded."""
-    bounded = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    side = F.broadcast(queries) if bounded else queries
-    return rows.join(side, same if same is not None else F.lit(True), "inner")
+    """Every query with every row, in blocks of queries. queries: query_id and more."""
+    on = same if same is not None else F.lit(True)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return rows.join(F.broadcast(queries), on, "inner")
+    blocks = -(-2 * queries.count() // BROADCAST_QUERIES)
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), on, "inner") for p in parts])
+
+
+def cosine_pairs(queries: DataFrame, rows: DataFrame, column: str, same: Column | None = None) -> DataFrame:
+    """``pairs`` with score, the retrieval cosine of ``query`` and ``column`` rounded to six places. Each vector's norm is computed once."""
+    asked, held = queries.withColumn("__asked", V.norm(F.col("query"))), rows.withColumn("__held", V.norm(F.col(column)))
+    cosine = V.dot(F.col("query"), F.col(column)) / F.greatest(F.col("__asked") * F.col("__held"), F.lit(V.F32_EPSILON))
+    return pairs(asked, held, same).withColumn("score", F.round(cosine, 6)).drop("__asked", "__held")
 
 
 def best(scored: DataFrame, top_k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -29,7 +41,10 @@ def best(scored: DataFrame, top_k: int, order: list[Column], by: str = "query_id
 def nearest(queries: DataFrame, rows: DataFrame, top_k: int, metric: str = "cosine", same: Column | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. queries: query_id, query; rows: vec_id, embedding. Score rounded to six places, ties to the smaller id."""
     V.check_search(top_k, metric)
-    scored = pairs(queries, rows, same).select("query_id", "vec_id", F.round(V.similarity(F.col("query"), F.col("embedding"), metric), 6).alias("score"))
+    if metric == "cosine":
+        scored = cosine_pairs(queries, rows, "embedding", same).select("query_id", "vec_id", "score")
+    else:
+        scored = pairs(queries, rows, same).select("query_id", "vec_id", F.round(V.similarity(F.col("query"), F.col("embedding"), metric), 6).alias("score"))
     return best(scored, top_k, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score")
 
 

@@ -414,9 +414,9 @@ def kmeans_fit(spark, sf_dir):
     return spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(zip(model.counts, model.centroids))], "k int, n int, centroid array<double>")
 
 
-@query("""SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 9) AS cov FROM embeddings, range(4) a(i), range(4) b(j) WHERE i <= j GROUP BY i, j""")
+@query("""SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 6) + 0.0 AS cov FROM embeddings, range(64) a(i), range(64) b(j) WHERE i <= j GROUP BY i, j""")
 def pca_cov(spark, sf_dir):
-    return quantize.covariance(table(spark, sf_dir, "embeddings"), 4).withColumn("cov", F.round("cov", 9))
+    return quantize.covariance(table(spark, sf_dir, "embeddings"), 64).withColumn("cov", F.round("cov", 6) + F.lit(0.0))
 
 
 @query(f"{STEP_SQL} SELECT k AS centroid, vec_id AS id, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS \"offset\" FROM p")
@@ -427,6 +427,30 @@ def ivf_list(spark, sf_dir):
     return index_entries(quantize.placed(rows, _starts(rows))).select("centroid", "id", "offset")
 
 
+@query(f"""{STEP_SQL}, a AS (SELECT vec_id AS query_id, embedding AS query, k FROM embeddings, c WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {L2("embedding", "cent")}, c.k) <= 3),
+d AS (SELECT query_id, vec_id, round({L2("query", "embedding")}, 6) AS distance FROM a JOIN p ON a.k = p.k)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank, vec_id, distance FROM d QUALIFY rank <= 5""")
+def ivf_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return quantize.search_lists(quantize.placed(rows, _starts(rows)), vector_queries(rows).drop("query_label"), _starts(rows), 3, retrieval.TOP_K)
+
+
+@query()
+def pq_trained(spark, sf_dir):
+    """A codebook trained on all vectors: codes and squared reconstruction error of each."""
+    rows = table(spark, sf_dir, "embeddings")
+    book = quantize.train_codebook(rows, 64, M, bits=4, max_iters=10)
+    coded = rows.select("vec_id", "embedding", quantize.encode(F.col("embedding"), book).alias("codes"))
+    return coded.select("vec_id", "codes", F.round(V.l2_squared(F.col("embedding"), quantize.decode(F.col("codes"), book)), 6).alias("error"))
+
+
+@query()
+def pca_project(spark, sf_dir):
+    """The four leading principal components of all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.transform(quantize.project(F.col("embedding"), quantize.pca(rows, 4)), lambda x: F.round(x, 6)).alias("components"))
+
+
 # --- codecs -------------------------------------------------------------------------------------------------
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Domain multipliers by category.
 DOMAINS = {
@@ -67,14 +68,36 @@ def persona_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PERSONAS, PERSONA_SCHEMA)
 
 
-def load_personas(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Name and flattened sections of persona TOML files: (name, section, key, value); lists and tables as their text."""
-    rows = []
+def _personas(paths: Iterable[str]) -> Iterator[tuple[str, dict]]:
     for path in paths:
         with open(path, "rb") as f:
             spec = tomllib.load(f)
         body = spec.get("personality", spec)
-        name = str(body.get("name") or body.get("core_identity", {}).get("name") or path.rsplit("/", 1)[-1].removesuffix(".toml"))
+        yield str(body.get("name") or path.rsplit("/", 1)[-1].removesuffix(".toml")), body
+
+
+def _field(body: dict, key: str):
+    """A setting's value, whichever section holds it."""
+    if key in body:
+        return body[key]
+    return next((found for held in body.values() if isinstance(held, dict) and (found := _field(held, key)) is not None), None)
+
+
+def load_personas(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The persona dimension of TOML files, typed; null where a file lacks a field."""
+    schema = StructType.fromDDL(PERSONA_SCHEMA)
+    cast = {"string": str, "int": int, "double": float, "array<string>": lambda v: [str(x) for x in v]}
+    rows = []
+    for name, body in _personas(paths):
+        found = {f.name: _field(body, f.name) for f in schema.fields} | {"name": name}
+        rows.append(tuple(None if found[f.name] is None else cast[f.dataType.simpleString()](found[f.name]) for f in schema.fields))
+    return spark.createDataFrame(rows, schema)
+
+
+def persona_settings(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """Everything that persona TOML files hold: (name, section, key, value); lists and tables as their text."""
+    rows = []
+    for name, body in _personas(paths):
         for section, held in body.items():
             for key, value in held.items() if isinstance(held, dict) else [("", held)]:
                 rows.append((name, section, key, str(value)))
@@ -91,10 +114,18 @@ def decoded(code: Column, names: dict[int, str]) -> Column:
     return F.try_element_at(table, code.cast("int"))
 
 
+#: Caller's dimension tables of up to this many rows are broadcast, larger ones are left to the optimizer.
+BROADCAST_ROWS = 100_000
+
+
+def _small(dim: DataFrame) -> DataFrame:
+    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
+
+
 def find_persona(rows: DataFrame, personas: DataFrame, column: str = "persona") -> DataFrame:
     """Left join on the name, whatever its case."""
     dim = personas.withColumn("__name", F.lower("name"))
-    return rows.join(F.broadcast(dim), F.lower(F.col(column)) == F.col("__name"), "left").drop("__name")
+    return rows.join(_small(dim), F.lower(F.col(column)) == F.col("__name"), "left").drop("__name")
 
 
 def persona_flags(personas: DataFrame) -> DataFrame:
@@ -113,7 +144,7 @@ def translate(rows: DataFrame, texts: DataFrame, lang: str = "lang", key: str =
     known = [r.lang for r in texts.select("lang").distinct().collect()]
     used = F.when(F.col(lang).isin(known), F.col(lang)).otherwise("en")
     dim = texts.select(F.col("lang").alias("__lang"), F.col("key").alias("__key"), F.col("text").alias("__text"))
-    joined = rows.withColumn("__used", used).join(F.broadcast(dim), (F.col("__used") == F.col("__lang")) & (F.col(key) == F.col("__key")), "left")
+    joined = rows.withColumn("__used", used).join(_small(dim), (F.col("__used") == F.col("__lang")) & (F.col(key) == F.col("__key")), "left")
     return joined.withColumn("text", F.coalesce("__text", F.col(key))).drop("__used", "__lang", "__key", "__text")
 
 

@@ -1,17 +1,17 @@
 """Search sources. A source answers a table of queries with (query_id, score, content, source, src_ord, pos).
 
-Registered by name; ``retrieve`` runs any list of them. Adding a source is adding a function.
+Registered by name; ``retrieve`` runs those that it has a table for. Adding a source is adding a function.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions import vectors as V
 from tessera.operators import topk
 
 #: Order in which sources are merged.
@@ -31,13 +31,13 @@ def cache_source(queries: DataFrame, entries: DataFrame, top_k: int) -> DataFram
         F.struct((F.col("pos") * 2 + 1).alias("at"), F.col("output").alias("content"), F.col("output_vec").alias("embedding")),
     )
     candidates = entries.select(F.explode(sides).alias("c")).select("c.*")
-    scored = topk.pairs(queries, candidates).withColumn("score", F.round(V.cosine(F.col("query"), F.col("embedding")), 6)).where("score > 0")
+    scored = topk.cosine_pairs(queries, candidates, "embedding").where("score > 0")
     return _answer(topk.best(scored, top_k, [F.desc("score"), F.asc("at")]), "cache")
 
 
 def memory_source(queries: DataFrame, records: DataFrame, top_k: int) -> DataFrame:
     """records: rec_id, vector, payload (bytes)."""
-    scored = topk.pairs(queries, records).withColumn("score", F.round(V.cosine(F.col("query"), F.col("vector")), 6)).withColumn("content", T.lossy_text(F.col("payload")))
+    scored = topk.cosine_pairs(queries, records, "vector").withColumn("content", T.lossy_text(F.col("payload")))
     return _answer(topk.best(scored, top_k, [F.desc("score"), F.asc("rec_id")]), "memory")
 
 
@@ -54,4 +54,11 @@ def web_request(text: Column, endpoint: str) -> Column:
     return F.concat(F.lit(f"{endpoint}?q="), T.url_encoded(text))
 
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"cache": cache_source, "memory": memory_source, "web": web_source}
+SOURCES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"cache": cache_source, "memory": memory_source, "web": lambda queries, replies, top_k: web_source(replies, top_k)}
+
+
+def retrieve(queries: DataFrame, tables: dict[str, DataFrame], top_k: int) -> DataFrame:
+    """The answers of every source that ``tables`` has a table for, in the sources' order; an unknown name is an error."""
+    if unknown := set(tables) - set(SOURCES):
+        raise ValueError(f"unknown sources: {sorted(unknown)}")
+    return functools.reduce(DataFrame.unionByName, [SOURCES[n](queries, tables[n], top_k) for n in sorted(tables, key=ORDER.get)])
