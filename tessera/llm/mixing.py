@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty, word_count
+from tessera.llm.common import BLANKS, materialize, text_or_empty, word_count
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, 20_011
 BUCKETS, RANGE_ROWS = 4096, 8192
@@ -51,26 +51,27 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levels.select("skey", "source_size", F.coalesce(F.least("most", level * F.col("weight")), F.col("most")).alias("target"))
 
 
-def queue(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, float]:
-    """``columns`` of every document, with skey, size, source_size, target and start (the source's words before it in its shuffled order); the budget."""
-    text, source = text_or_empty(), F.col("source").cast("string")
-    tie = F.crc32(text.cast("binary"))
-    keys = [
-        source.alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", tie, F.lit(seed)).alias("order"), tie.alias("tie"),
-        F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"),
-    ]
+def place_keys(seed: int) -> list:
+    """skey, order, tie: a document's source and its place in the source's shuffled order (then doc_id)."""
+    source, tie = F.col("source").cast("string"), F.crc32(text_or_empty().cast("binary"))
+    return [F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"), F.xxhash64("doc_id", tie, F.lit(seed)).alias("order"), tie.alias("tie")]
+
+
+def queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> tuple[DataFrame, float]:
+    """doc_id, skey, order, tie, size, source_size, target and start (the source's words before it in its shuffled order) of every document; the budget."""
+    keys = [F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *place_keys(seed)]
     bucket = F.shiftright("order", 64 - BUCKETS.bit_length() + 1).cast("int")
     # A table of keys: texts are read once and never shuffled.
-    sized = materialize(docs.select(*columns, *keys), "mix-sizes").withColumn("bucket", bucket)
+    sized = materialize(docs.select("doc_id", *keys), "mix-sizes").withColumn("bucket", bucket)
     targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
     sources, budget = targets.agg(F.count(F.lit(1)), F.sum("target")).first()
     ranges = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select("skey", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    inner = W.partitionBy("skey", "bucket").orderBy("order", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("skey", "bucket").orderBy("order", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["skey", "bucket"])
     placed = placed.join(F.broadcast(targets) if sources <= BROADCAST_SOURCES else targets, "skey").withColumn("start", F.col("base") + F.col("inside"))
-    return materialize(placed.select(*columns, "skey", "size", "source_size", "target", "start"), "mix-queue"), budget or 0.0
+    return materialize(placed.select("doc_id", "skey", "order", "tie", "size", "source_size", "target", "start"), "mix-queue"), budget or 0.0
 
 
 def turns(placed: DataFrame, cap: int = CAP) -> DataFrame:
@@ -104,7 +105,7 @@ def truncated(placed: DataFrame, budget: float, cap: int = CAP) -> DataFrame:
 
 def mix_report(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, and whole (its words before the cut of the sequence, in whole documents)."""
-    placed, budget = queue(docs, ["doc_id"], weights, share, cap, seed)
+    placed, budget = queue(docs, weights, share, cap, seed)
     # A source's turns before the cut are the first of its queue: their words are the place where its queue is cut.
     cuts = truncated(placed, budget, cap).groupBy("skey").agg(F.sum("size").alias("end"))
     cuts = materialize(cuts, "mix-cuts")
@@ -125,22 +126,21 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` that the truncated sequence holds, a row again for each further turn.
 
-    The sequence is formed on keys; its turns meet the rows by a digest of the row, so whole rows are shuffled once. Rows that are
-    equal in all columns (maps aside) count as copies of one. A document without words goes along once if its place lies before the cut.
+    The sequence is formed on keys. What it holds of a source are the first turns of that source's queue, so the last of them, one
+    place for each source, tells every row where it lies whether it is in: whole rows are never shuffled. Rows of one doc_id and text
+    share a place. A document without words goes along once if its place lies before the cut.
     """
     names = docs.columns
-    held = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in held])
-    keyed = docs.select("doc_id", "text", "source", digest.alias("__row"))
-    placed, budget = queue(keyed, ["doc_id", "__row"], weights, share, cap, seed)
-    kept = truncated(placed, budget, cap).where((F.col("size") > 0) | (F.col("turn") == 0))
-    wanted = placed.groupBy("__row").agg(F.count(F.lit(1)).alias("__held")).join(kept.groupBy("__row").agg(F.count(F.lit(1)).alias("__times")), "__row")
-    wanted = materialize(wanted, "mix-wanted")
-    found = docs.withColumn("__row", digest).join(wanted, "__row")
-    if wanted.where("__held > 1").take(1):
-        found = found.where("__held = 1").unionByName(found.where("__held > 1").dropDuplicates(["__row"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
-    return found.withColumn("__time", times).select(*[F.col(f"`{c}`") for c in names])
+    placed, budget = queue(docs, weights, share, cap, seed)
+    last = F.max(F.struct("turn", "order", "doc_id", "tie")).alias("__last")
+    cuts = materialize(truncated(placed, budget, cap).groupBy(F.col("skey").alias("__skey")).agg(last), "mix-cuts")
+    few = cuts.count() <= BROADCAST_SOURCES
+    keys = [k.alias(n) for k, n in zip(place_keys(seed), ("__skey", "__order", "__tie"))]
+    rows = docs.select("*", *keys).join(F.broadcast(cuts) if few else cuts, "__skey")
+    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
+    place = F.struct(F.col("__turn").alias("turn"), F.col("__order").alias("order"), F.col("doc_id").alias("doc_id"), F.col("__tie").alias("tie"))
+    wordless = F.btrim(text_or_empty(), F.lit(BLANKS)) == ""
+    return rows.where((place <= F.col("__last")) & ((F.col("__turn") == 0) | ~wordless)).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
