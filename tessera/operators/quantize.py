@@ -236,8 +236,8 @@ def encode(vector: Column, book: Codebook) -> Column:
     return F.when(F.size(vector) == book.m * book.sub_dims, F.array(*codes))
 
 
-def encode_udf(book: Codebook):
-    """The same in numpy batches, for codebooks beyond ``LITERALS`` numbers."""
+def encode_udf(book: Codebook, preprocess: bool = False):
+    """The same in numpy batches, for codebooks beyond ``LITERALS`` numbers. preprocess: as ``vectors.preprocess`` first."""
     centroids = np.array([book.of(m) for m in range(book.m)])
 
     @F.pandas_udf("array<smallint>")
@@ -245,8 +245,12 @@ def encode_udf(book: Codebook):
         fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == book.m * book.sub_dims]
         out: list[np.ndarray | None] = [None] * len(vectors)
         if fits:
-            x = np.stack([np.asarray(vectors.iloc[i], float) for i in fits]).reshape(len(fits), book.m, -1)
-            for i, codes in zip(fits, nearest_codes(x, centroids)):
+            x = np.stack([np.asarray(vectors.iloc[i], float) for i in fits])
+            if preprocess:
+                x = x - x.mean(axis=1, keepdims=True)
+                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True) + 1e-12)
+                x = x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12)
+            for i, codes in zip(fits, nearest_codes(x.reshape(len(fits), book.m, -1), centroids)):
                 out[i] = codes
         return pd.Series(out)
 
@@ -296,6 +300,8 @@ def table_distance(table: Column, codes: Column, m: int) -> Column:
 
 def quantize(vector: Column, book: Codebook) -> Column:
     """Codes of the preprocessed vector; decoding gives the preprocessed space back."""
+    if book.m * book.k * book.sub_dims > LITERALS:
+        return encode_udf(book, preprocess=True)(vector)
     return encode(V.preprocess(vector), book)
 
 
