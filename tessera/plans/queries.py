@@ -483,16 +483,15 @@ def _round_trip(name: str, source: str, key: str, column: str):
     return query(f"SELECT {key}, {column} FROM {source}")(run)
 
 
-_round_trip("zstd", "documents", "doc_id", "text")
-for _name in ("huffman", "ans12", "ans14", "rle"):
-    _round_trip(_name, "customer", "c_custkey", "c_name")
+for _name in ("zstd", "huffman", "ans12", "ans14", "rle"):
+    _round_trip(_name, "documents", "doc_id", "text")
 
 
-@query("SELECT c_custkey, c_name, true AS smaller FROM customer")
+@query("SELECT doc_id, text, true AS smaller FROM documents")
 def codec_best(spark, sf_dir):
-    packed = table(spark, sf_dir, "customer").select("c_custkey", "c_name", codecs.smallest_udf()(F.col("c_name").cast("binary")).alias("p"))
-    zstd = F.octet_length(codecs.codec_udf("zstd")(F.col("c_name").cast("binary")))
-    return packed.select("c_custkey", codecs.expand_udf()("p.codec", "p.bytes").cast("string").alias("c_name"), (F.octet_length("p.bytes") <= zstd).alias("smaller"))
+    packed = table(spark, sf_dir, "documents").select("doc_id", "text", codecs.smallest_udf()(F.col("text").cast("binary")).alias("p"))
+    zstd = F.octet_length(codecs.codec_udf("zstd")(F.col("text").cast("binary")))
+    return packed.select("doc_id", codecs.expand_udf()("p.codec", "p.bytes").cast("string").alias("text"), (F.octet_length("p.bytes") <= zstd).alias("smaller"))
 
 
 # --- encryption -----------------------------------------------------------------------------------------------
