@@ -6,6 +6,7 @@ words embeds, keyword lookup analyses, an echo generates. They are stand-ins and
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM, MAX_TOKENS, TEMPERATURE = 384, 512, 0.7
+CACHE_WORDS = 400_000
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
@@ -26,22 +28,36 @@ def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     return F.when(trim_ws(text) != "", F.transform(counts, lambda x: (x / length).cast("float")))
 
 
+class Places(dict):
+    """word -> hashed place, made when asked for."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = place = zlib.crc32(word.encode()) % self.dim
+        return place
+
+
 class HashedEmbedder:
     """The same vectors in numpy, for long texts and as the template of a provider."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
+        self.places = Places(dim)
 
     def embed(self, texts: list[str]) -> list[np.ndarray | None]:
-        import zlib
-
+        look = self.places.__getitem__
         out: list[np.ndarray | None] = []
         for t in texts:
             words = t.lower().split() if t else []
             if not words:
                 out.append(None)
                 continue
-            v = np.bincount([zlib.crc32(w.encode()) % self.dim for w in words], minlength=self.dim).astype(np.float64)
+            v = np.bincount(np.fromiter(map(look, words), np.int64, len(words)), minlength=self.dim).astype(np.float64)
             out.append((v / np.sqrt((v * v).sum())).astype(np.float32))
         return out
 

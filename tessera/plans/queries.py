@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import codecs, crypto, models
+from tessera.functions import codecs, crypto
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import conversation, features, quantize, retrieval, topk
@@ -283,11 +283,9 @@ def prompt_blocks(spark, sf_dir):
 @query()
 def semantic_search(spark, sf_dir):
     """Benchmark items against all documents, by the default hashed embedding."""
-    embed = models.embedding_udf()
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embed("text").alias("query")).where(F.col("query").isNotNull())
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), embed("text").alias("embedding")).where(F.col("embedding").isNotNull())
-    scored = topk.pairs(queries, rows).select("query_id", "vec_id", F.round(V.cosine(F.col("query"), F.col("embedding"), "embedding"), 6).alias("score"))
-    return topk.best(scored, retrieval.TOP_K, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return topk.nearest_texts(queries, texts, retrieval.TOP_K)
 
 
 # --- replies ----------------------------------------------------------------------------------------------

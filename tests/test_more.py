@@ -185,3 +185,30 @@ def test_bits_and_chunks(spark):
     assert one(spark, V.set_bits(F.lit(0b1011))) == 3
     flat = F.array(*[F.lit(1.0)] * 6)
     assert one(spark, V.vector_count(flat, 3)) == 2 and one(spark, V.vector_count(flat, 4)) is None
+
+
+def test_nearest_texts(spark, monkeypatch):
+    """Against every pair by SQL functions: ties, blank and null texts, null ids, two query blocks; no vector leaves the scan."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 30, rng.integers(1, 12))) for _ in range(700)]
+    texts[5:9] = [" ", None, "", texts[0]]
+    rows = spark.createDataFrame([(None if i == 40 else 3 * i, t) for i, t in enumerate([*texts, *texts[100:200]])], "vec_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*texts[:30], "nothing alike"])], "query_id string, text string")
+    embed = models.embedding_udf()
+    asked = queries.select("query_id", embed("text").alias("query")).where("query IS NOT NULL")
+    scored = topk.pairs(asked, rows.select("vec_id", embed("text").alias("embedding")).where("embedding IS NOT NULL"))
+    scored = scored.select("query_id", "vec_id", F.round(V.cosine(F.col("query"), F.col("embedding"), "embedding"), 6).alias("score"))
+    want = topk.best(scored, 7, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score").collect()
+    found = topk.nearest_texts(queries, rows, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert set(found.collect()) == set(want) and len(want) == 7 * 28 and "NestedLoop" not in plan and "ArrowEvalPython" not in plan
+    monkeypatch.setattr(topk, "BROADCAST_QUERIES", 20)
+    assert set(topk.nearest_texts(queries, rows, 7).collect()) == set(want)
+    assert topk.nearest_texts(queries, rows.limit(0), 7).count() == 0 and topk.nearest_texts(queries.limit(0), rows, 7).count() == 0
+
+
+def test_semantic_search_embeds_in_the_scan(spark):
+    from tessera.plans import queries
+
+    plan = queries.semantic_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
