@@ -14,13 +14,13 @@ as pairs of blocks. So a task's points are bounded whatever the table. A shard g
 tree the same way down to leaves of ``LEAF`` points, compares there, and returns its components as stars, never
 all pairs. Stars of all shards are joined by alternating large-star and small-star rounds over tables.
 
-``near_duplicates`` finds texts with a given Jaccard similarity of shingle sets. At similarity 0.8 two
-fingerprints differ in about 10 of 64 bits, and no radius holds all such pairs (more so where lines repeat), while
-unrelated ones lie at 32 +- 4: the triangle bound prunes nothing there. Points are
-partitioned by pairs of min-wise shingles (``BANDS`` of them; a pair at 0.8 shares one with probability
-0.998). In a partition, every pair that can reach the similarity by size and by its rarest shingles (an exact prefix
-filter) is decided on the whole shingle sets; fingerprints of the distinct shingles only say which pairs are tried first.
-Partitions of over ``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
+``near_duplicates`` finds texts with a given Jaccard similarity of shingle sets, by the same steps: fingerprints (of the distinct
+shingles), vantage-point shards and star components at ``RADIUS`` bits. In each component, every pair that can reach the similarity by size and
+by its rarest shingles (an exact prefix filter) is decided on the whole shingle sets. At similarity 0.8 two fingerprints differ in about 10 of
+64 bits, and no radius that prunes holds all such pairs (unrelated ones lie at 32 +- 4), so texts of different components also meet
+in partitions by pairs of min-wise shingles (``BANDS`` of them; a pair at 0.8 shares one with probability 0.998), where they are decided the same way; a
+partition whose texts are all of one component is left out, since its pairs were met there.
+Components and partitions of over ``GROUP_BLOCK`` texts or ``GROUP_SHINGLES`` shingles are compared as pairs of blocks.
 
 Defined results: null texts and texts without words have fingerprint zero and are linked with each other, also in
 ``near_duplicates`` and ``keep_one``, which know texts by their digest: a row goes only for its text, whatever its doc_id;
@@ -397,20 +397,38 @@ def similar_pairs(sets, sizes, fps, least, label) -> Iterator[tuple[int, int]]:
         mark[token[starts[y] : ends[y]]] = False
 
 
+def clustered(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes (node, fp, n, bands) with cluster: the fingerprint that names the node's component under links of at most ``radius`` bits."""
+    nodes = materialize(nodes, "signature-nodes")
+    stars = connected(hamming_links(nodes.select("fp").distinct(), radius))
+    return nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("cluster", F.coalesce("root", "fp")).drop("root")
+
+
+def partitions(nodes: DataFrame) -> DataFrame:
+    """node, way, key, a, b: the partitions whose pairs are compared, or pairs of such blocks. nodes: node, n, cluster, bands.
+
+    Way 0 are the fingerprints' components. Way 1 are pairs of min-wise shingles, for similar texts whose fingerprints lie further apart: only
+    those that hold texts of more than one component, since every pair of one component already meets there."""
+    nodes = materialize(nodes.select("node", "n", "cluster", "bands"), "signature-clusters")
+    by = lambda way, key: F.struct(F.lit(way).alias("way"), key.alias("key"))
+    keys = F.concat(F.array(by(0, F.col("cluster"))), F.transform("bands", lambda x: by(1, x)))
+    keyed = nodes.select("node", "n", "cluster", F.explode(keys).alias("at")).select("node", "n", "cluster", "at.way", "at.key")
+    held = keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"), F.min("cluster").alias("least"), F.max("cluster").alias("most"))
+    held = held.where("held > 1 AND (way = 0 OR least <> most)")
+    blocks = F.least(F.col("held"), F.ceil(F.greatest(F.col("held") / GROUP_BLOCK, F.col("shingles") / GROUP_SHINGLES))).cast("int")
+    asked = keyed.join(held.select("way", "key", blocks.alias("blocks")), ["way", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    asked = asked.select("node", "way", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return asked.select("node", "way", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+
+
 def similar_texts(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, same and more of every document; same, first, root of every text). Texts of one root are one group."""
     same = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.lit(b""))
     signed = materialize(signature_table(docs, width).withColumn("node", F.monotonically_increasing_id()).withColumn("same", same), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "node")
     points = materialize(signed.groupBy("same").agg(F.min(first).alias("first")), "signature-points")
-    nodes = signed.join(points.select(F.col("first.node").alias("node")), "node", "left_semi")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles")).where("held > 1")
-    blocks = F.least(F.col("held"), F.ceil(F.greatest(F.col("held") / GROUP_BLOCK, F.col("shingles") / GROUP_SHINGLES))).cast("int")
-    asked = banded.join(shared.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    asked = asked.select("node", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    asked = asked.select("node", "band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    asked = materialize(asked, "signature-partitions")
+    nodes = signed.join(points.select(F.col("first.node").alias("node")), "node", "left_semi").where("n > 0").select("node", "fp", "n", "bands")
+    asked = materialize(partitions(clustered(nodes)), "signature-partitions")
     needed = asked.select("node").distinct()
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
     carried = asked.join(signed.select("node", "fp", "n", "shingles").join(needed, "node", "left_semi"), "node")
@@ -419,7 +437,7 @@ def similar_texts(docs: DataFrame, width: int, similarity: float) -> tuple[DataF
         got = group_links(table["node"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["shingles"].to_pylist(), similarity)
         return pa.table([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], schema=STAR)
 
-    stars = connected(carried.groupBy("band", "a", "b").applyInArrow(link, "u long, v long"))
+    stars = connected(carried.groupBy("way", "key", "a", "b").applyInArrow(link, "u long, v long"))
     rooted = points.withColumn("node", F.col("first.node")).join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     return signed, rooted.select("same", "first", F.coalesce("root", "node").alias("root"))
 

@@ -581,3 +581,26 @@ def test_mixing_cuts_the_sorted_sequence(docs):
     for doc, n in got.whole.items():
         if words := len((text[doc] or "").encode().split()):
             assert mixed[doc, text[doc]] * words == n
+
+
+def test_near_duplicates_go_by_fingerprints(spark, monkeypatch):
+    """Without min-wise partitions, similar texts within the radius are found by the fingerprints' components; unlike texts of one component stay apart."""
+    rng = np.random.default_rng(15)
+    base = [[f"w{x}" for x in rng.integers(0, 50_000, 3000)] for _ in range(20)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:-1] + ["changed"]) for w in base]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    prints = [simhash.signature(t.encode(), 5)[1] for t in texts]
+    assert all((prints[i] ^ prints[20 + i]).bit_count() <= simhash.RADIUS for i in range(20))
+    whole = simhash.signature
+    monkeypatch.setattr(simhash, "signature", lambda text, width: (*whole(text, width)[:4], []))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(range(20))
+    # One fingerprint for all: a single component, in which the shingle sets decide.
+    monkeypatch.setattr(simhash, "signature", lambda text, width: (whole(text, width)[0], 0, *whole(text, width)[2:4], []))
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 16)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(range(20))
+
+
+def test_partitions_of_one_component_are_left_out(spark):
+    nodes = spark.createDataFrame([(1, 5, 70, [1, 2]), (2, 5, 70, [1, 3]), (3, 5, 80, [2, 4]), (4, 5, 90, [4, 3])], "node long, n long, cluster long, bands array<long>")
+    got = {(r.way, r.key, r.node) for r in simhash.partitions(nodes).collect()}
+    assert got == {(0, 70, 1), (0, 70, 2), (1, 2, 1), (1, 2, 3), (1, 3, 2), (1, 3, 4), (1, 4, 3), (1, 4, 4)}
