@@ -193,19 +193,25 @@ def is_star_forest(edges: DataFrame) -> bool:
     return not many.unionByName(chained.withColumn("count", F.lit(0).cast("long"))).take(1)
 
 
+def few_files(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` of a table of numbers behind a shuffle, in a file for each core at most: Hadoop starts processes for every local file, and
+    tables of links are written round after round."""
+    return materialize(df.coalesce(df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """u, v: each node with the least node of its component, which has no row itself. edges: u, v longs."""
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    now = few_files(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(rounds):
         if is_star_forest(now):
             return now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "links")
+        large = few_files(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        after = few_files(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         release(now)
         release(large)
         now = after
@@ -278,7 +284,7 @@ def hamming_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable by links of at most ``radius`` bits."""
     prints = materialize(fingerprint_table(docs, width), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-points")
+    points = few_files(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-points")
     stars = connected(hamming_links(points, radius))
     rooted = points.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

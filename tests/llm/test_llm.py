@@ -604,3 +604,19 @@ def test_partitions_of_one_component_are_left_out(spark):
     nodes = spark.createDataFrame([(1, 5, 70, [1, 2]), (2, 5, 70, [1, 3]), (3, 5, 80, [2, 4]), (4, 5, 90, [4, 3])], "node long, n long, cluster long, bands array<long>")
     got = {(r.way, r.key, r.node) for r in simhash.partitions(nodes).collect()}
     assert got == {(0, 70, 1), (0, 70, 2), (1, 2, 1), (1, 2, 3), (1, 3, 2), (1, 3, 4), (1, 4, 3), (1, 4, 4)}
+
+
+def test_links_in_few_files(spark, monkeypatch):
+    """A table of links is a file for each core at most, however many shuffle partitions there are."""
+    written, whole = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.append((name, len((out := whole(df, name)).inputFiles()))) or out)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = spark.createDataFrame([(i + 1, i) for i in range(300)], "u long, v long")
+        assert {(r.u, r.v) for r in simhash.connected(chain).collect()} == {(i, 0) for i in range(1, 301)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert written and max(n for _, n in written) <= spark.sparkContext.defaultParallelism
