@@ -17,8 +17,8 @@ rows, and a weight moves by ``RATE`` times the logarithm of observed over expect
 both eased by ``RIDGE``. Scoring gathers the few rows of each token in numpy batches.
 
 Base score: counts of all words over all training texts. The vocabulary grows with the corpus, so it is never broadcast or
-collected: texts are dealt to blocks of about ``BLOCK_BYTES``, each block asks for its distinct words, the answers are joined and
-meet the block's texts again. A block's size does not depend on the table's or the cluster's.
+collected: texts are dealt to blocks of about ``BLOCK_BYTES``, each block names its distinct words, a window over each word adds up its counts and
+the answers meet the block's texts again. A block's size does not depend on the table's or the cluster's.
 
 Defined results: a null text is an empty one (one end token); a null doc_id is not held out; without training texts all tokens
 are unseen; an empty table gives an empty table; rows may repeat; further columns are not read.
@@ -32,10 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, release, text_or_empty
+from tessera.llm.common import materialize, text_or_empty
 
 FAN, LEVELS = 16, 3
 SLOTS = FAN**LEVELS
@@ -68,9 +68,12 @@ class Vocabulary(dict):
         super().__init__()
         self.rank = {w: i for i, w in enumerate(top)}
 
-    def __missing__(self, word: bytes) -> int:
+    def code(self, word: bytes) -> int:
         slot = self.rank.get(word)
-        code = (spelt_slot(word) if slot is None else slot) << 32 | zlib.crc32(word)
+        return (spelt_slot(word) if slot is None else slot) << 32 | zlib.crc32(word)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.code(word)
         if len(self) > CACHE_WORDS:
             self.clear()
         self[word] = code
@@ -154,9 +157,9 @@ def slot_logs(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray,
 
 
 def add_counts(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray, priors: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
-    """Adds the tokens' observed and expected counts per weight."""
-    bits, ones, outputs = len(weights).bit_length() - 1, np.ones(FAN, np.float32), np.arange(FAN)
-    observed, expected = observed.reshape(-1), expected.reshape(-1)
+    """Adds the tokens' observed and expected counts per weight; expected ones two at a time, as the parts of complex numbers."""
+    bits, ones, outputs = len(weights).bit_length() - 1, np.ones(FAN, np.float32), np.arange(FAN // 2)
+    observed, expected = observed.reshape(-1), expected.reshape(-1).view(np.complex64)
     for a in range(0, len(slot), CHUNK):
         part, to = slice(a, a + CHUNK), slot[a : a + CHUNK]
         for level, (node, digit) in enumerate(path(to)):
@@ -164,11 +167,10 @@ def add_counts(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray
             p = logits_of(rows, node, weights, priors)
             np.exp(p, out=p)
             p /= (p @ ones)[:, None]
-            flat = p.reshape(-1)
+            flat = p.reshape(-1).view(np.complex64)
             for r in rows.values():
-                first = r * FAN
-                np.add.at(observed, first + digit, np.float32(1))
-                np.add.at(expected, (first[:, None] + outputs).reshape(-1), flat)
+                np.add.at(observed, r * FAN + digit, np.float32(1))
+                np.add.at(expected, ((r * (FAN // 2))[:, None] + outputs).reshape(-1), flat)
 
 
 def coded(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -311,9 +313,14 @@ def dealt_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
 
 
 def count_words(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, word, n; word, c): each block's distinct words, and all training texts' counts."""
-    words = materialize(keyed.repartition("block").select("block", "held_out", "text").mapInArrow(_block_words, "block int, word binary, n long"), "lm-words")
-    return words, materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    """(block, word, c; word, c): each block's distinct words with all training texts' counts, and those counts once for each word.
+
+    The counts meet the blocks' words in one shuffle and one sort: a word has no more rows than there are blocks."""
+    words = keyed.repartition("block").select("block", "held_out", "text").mapInArrow(_block_words, "block int, word binary, n long")
+    first = F.row_number().over(W.partitionBy("word").orderBy("block")) == 1
+    counted = words.withColumn("first", first).withColumn("c", F.sum("n").over(W.partitionBy("word")))
+    words = materialize(counted.select("block", "word", "c", "first"), "lm-words")
+    return words.select("block", "word", "c"), words.where("first").select("word", "c")
 
 
 def fit(keyed: DataFrame, counts: DataFrame, size: int) -> Model:
@@ -350,7 +357,8 @@ def score_texts(texts: list[bytes], number: dict[bytes, int], counts: np.ndarray
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     keyed, size = dealt_texts(docs, key, text)
-    words, counts = count_words(keyed)
+    # A word that a flush of ``_block_words`` gave twice is told the same count both times.
+    answers, counts = count_words(keyed)
     model = fit(keyed, counts, size)
     priors = log_priors(model.mass)
     shared = docs.sparkSession.sparkContext.broadcast((model, priors))
@@ -362,14 +370,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         asked = answers["word"].to_pylist()
         number = dict(zip(asked, range(len(asked))))
         vocabulary = Vocabulary(model.top)
-        codes = np.array([vocabulary[w] for w in asked], np.int64)
+        codes = np.fromiter(map(vocabulary.code, asked), np.int64, len(asked))
         c = answers["c"].to_numpy()
         out = [score_texts(part, number, c, codes, model, priors) for part in grouped(texts["text"].combine_chunks())]
         return pa.table([texts["doc_id"], texts["held_out"], *[pa.array(np.concatenate([o[i] for o in out])) for i in range(4)]], schema=SCORES)
 
-    answers = materialize(words.join(counts, "word").select("block", "word", "c"), "lm-answers")
-    release(words)
-    release(counts)
     scored = keyed.select("doc_id", "held_out", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -620,3 +620,18 @@ def test_links_in_few_files(spark, monkeypatch):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert written and max(n for _, n in written) <= spark.sparkContext.defaultParallelism
+
+
+def test_words_are_counted_in_one_shuffle(spark, monkeypatch):
+    """Counts of all training texts beside each block's words, by a window and without a join; a repeated flush changes nothing."""
+    monkeypatch.setattr(maxent_lm, "WORDS_HELD", 3)
+    rows = [(i % 3, i % 4 == 1, f"a b{i % 5} A c{i} b{i % 2}".encode()) for i in range(40)]
+    keyed = spark.createDataFrame(rows, "block int, held_out boolean, text binary")
+    plans, whole = [], maxent_lm.materialize
+    monkeypatch.setattr(maxent_lm, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, name))
+    words, counts = (x.collect() for x in maxent_lm.count_words(keyed))
+    want = Counter(w for _, held, t in rows if not held for w in [*t.lower().split(), b""])
+    asked = {(b, w) for b, _, t in rows for w in [*t.lower().split(), b""]}
+    assert {(r.block, bytes(r.word), r.c) for r in words} == {(b, w, want[w]) for b, w in asked}
+    assert sorted((bytes(r.word), r.c) for r in counts) == sorted({(w, want[w]) for _, w in asked})
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].count("Exchange hashpartitioning(word") == 1 and plans[0].count("Sort [word") == 1
