@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ ROUNDS, RATE, RIDGE, STEEPEST = 4, 0.6, 4.0, 20.0
 TOKENS_PER_ROW, LEAST_BITS, MOST_BITS = 256, 16, 18
 BLOCK_BYTES, TASK_BYTES, PARTS = 8 << 20, 512 << 20, 16
 END = b""
-CACHE_WORDS, CHUNK = 400_000, 1 << 13
+CHUNK = 1 << 13
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -61,23 +62,46 @@ def spelt_slot(word: bytes) -> int:
     return min(slot, UNSEEN - 1)
 
 
-class Vocabulary(dict):
-    """word -> slot << 32 | hash, made when asked for."""
+def _crcs(make) -> np.ndarray:
+    return np.array([zlib.crc32(make(i)) for i in range(256)], np.int64)
+
+
+#: ``spelt_slot`` in parts: the last two bytes (a CRC is affine in each of them), a word's only byte, the length's class and the first byte.
+TWO_LAST = (_crcs(lambda i: bytes([i, 0]))[:, None] ^ _crcs(lambda i: bytes([0, i])) ^ zlib.crc32(bytes(2))) % 32 * 32
+ONE_LAST = _crcs(lambda i: bytes([i])) % 32 * 32
+FIRST = np.array([_crcs(lambda i, k=k: bytes([i, k])) % 32 for k in range(8)])
+NONE = zlib.crc32(b"") % 32 * 32 + zlib.crc32(bytes(1)) % 32
+
+
+def spelt_slots(words: list[bytes]) -> np.ndarray:
+    """``spelt_slot`` of many words."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat, ends = np.frombuffer(b"".join((bytes(2), *words, bytes(1))), np.uint8), np.cumsum(sizes) + 2
+    last = np.where(sizes > 1, TWO_LAST[flat[ends - 2], flat[ends - 1]], ONE_LAST[flat[ends - 1]])
+    named = last + FIRST[np.minimum(sizes // 3, 7), flat[ends - sizes]]
+    return np.minimum(TOP + np.where(sizes > 0, named, NONE), UNSEEN - 1)
+
+
+def slots_of(words: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
+    """Slots of many words. rank: the words with one of their own."""
+    own = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+    shared = np.flatnonzero(own < 0)
+    own[shared] = spelt_slots([words[i] for i in shared.tolist()])
+    return own
+
+
+class Vocabulary:
+    """Codes of words: slot << 32 | hash."""
 
     def __init__(self, top: list[bytes]):
-        super().__init__()
         self.rank = {w: i for i, w in enumerate(top)}
 
-    def code(self, word: bytes) -> int:
+    def __getitem__(self, word: bytes) -> int:
         slot = self.rank.get(word)
         return (spelt_slot(word) if slot is None else slot) << 32 | zlib.crc32(word)
 
-    def __missing__(self, word: bytes) -> int:
-        code = self.code(word)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = code
-        return code
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return slots_of(words, self.rank) << 32 | np.fromiter(map(zlib.crc32, words), np.int64, len(words))
 
 
 def histories(codes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -157,9 +181,11 @@ def slot_logs(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray,
 
 
 def add_counts(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray, priors: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
-    """Adds the tokens' observed and expected counts per weight; expected ones two at a time, as the parts of complex numbers."""
+    """Adds the tokens' observed and expected counts per weight; expected ones two at a time, as the parts of complex numbers.
+
+    The view as float32 matters: a dtype that came by pickle is equal to numpy's own but another object, with which ``add.at`` takes some 15 times as long."""
     bits, ones, outputs = len(weights).bit_length() - 1, np.ones(FAN, np.float32), np.arange(FAN // 2)
-    observed, expected = observed.reshape(-1), expected.reshape(-1).view(np.complex64)
+    observed, expected = observed.reshape(-1).view(np.float32), expected.reshape(-1).view(np.complex64)
     for a in range(0, len(slot), CHUNK):
         part, to = slice(a, a + CHUNK), slot[a : a + CHUNK]
         for level, (node, digit) in enumerate(path(to)):
@@ -173,14 +199,20 @@ def add_counts(features: list[np.ndarray], slot: np.ndarray, weights: np.ndarray
                 np.add.at(expected, ((r * (FAN // 2))[:, None] + outputs).reshape(-1), flat)
 
 
+def cut_texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All texts' tokens, and the places of the texts' ends."""
+    flat, ends = [], []
+    for t in texts:
+        flat += words_of(t)
+        ends.append(len(flat))
+        flat.append(END)
+    return flat, np.array(ends, np.int64)
+
+
 def coded(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts' tokens, and the places of the texts' ends."""
-    cut = [words_of(t) for t in texts]
-    look, flat = vocabulary.__getitem__, []
-    for words in cut:
-        flat.extend(map(look, words))
-        flat.append(vocabulary[END])
-    return np.array(flat, np.int64), np.cumsum([len(c) + 1 for c in cut]) - 1
+    words, ends = cut_texts(texts)
+    return vocabulary.codes(words), ends
 
 
 def shortened(x: np.ndarray) -> bytes:
@@ -254,9 +286,11 @@ WORDS_HELD = 2_000_000
 
 
 def _block_words(batches):
-    """(block, word, n): the distinct words of each block with their number in training texts, in bounded memory."""
+    """(piece, word, n): the distinct words of each block with their number in training texts, in bounded memory.
+
+    piece: the block << 32 | the number of the flush, so a word has one row of each piece."""
     seen: dict[int, Counter] = {}
-    size = 0
+    size = flushes = 0
 
     def out():
         for block in list(seen):
@@ -264,7 +298,7 @@ def _block_words(batches):
             words, numbers = list(counts), list(counts.values())
             for a in range(0, len(words), 100_000):
                 part = words[a : a + 100_000]
-                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), pa.array(numbers[a : a + 100_000], pa.int64())], ["block", "word", "n"])
+                yield pa.record_batch([pa.array(np.full(len(part), block << 32 | flushes, np.int64)), pa.array(part, pa.binary()), pa.array(numbers[a : a + 100_000], pa.int64())], ["piece", "word", "n"])
 
     for batch in batches:
         for block, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -280,7 +314,7 @@ def _block_words(batches):
             size += len(counts) - before
             if size > WORDS_HELD:
                 yield from out()
-                size = 0
+                size, flushes = 0, flushes + 1
     yield from out()
 
 
@@ -291,7 +325,7 @@ def slot_sums(known: DataFrame, top: list[bytes]) -> np.ndarray:
         rank = {w: i for i, w in enumerate(top)}
         mass = np.zeros(SLOTS)
         for batch in batches:
-            slots = np.array([rank[w] if w in rank else spelt_slot(w) for w in batch.column(0).to_pylist()], np.int64)
+            slots = slots_of(batch.column(0).to_numpy(zero_copy_only=False).tolist(), rank)
             mass += np.bincount(slots, batch.column(1).to_numpy() + 0.5, SLOTS)
         at = np.flatnonzero(mass)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(mass[at])], ["slot", "mass"])
@@ -316,10 +350,10 @@ def count_words(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block, word, c; word, c): each block's distinct words with all training texts' counts, and those counts once for each word.
 
     The counts meet the blocks' words in one shuffle and one sort: a word has no more rows than there are blocks."""
-    words = keyed.repartition("block").select("block", "held_out", "text").mapInArrow(_block_words, "block int, word binary, n long")
-    first = F.row_number().over(W.partitionBy("word").orderBy("block")) == 1
-    counted = words.withColumn("first", first).withColumn("c", F.sum("n").over(W.partitionBy("word")))
-    words = materialize(counted.select("block", "word", "c", "first"), "lm-words")
+    words = keyed.repartition("block").select("block", "held_out", "text").mapInArrow(_block_words, "piece long, word binary, n long")
+    same = W.partitionBy("word")
+    first, block = F.col("piece") == F.min("piece").over(same), F.shiftright("piece", 32).cast("int")
+    words = materialize(words.select(block.alias("block"), "word", F.sum("n").over(same).alias("c"), first.alias("first")), "lm-words")
     return words.select("block", "word", "c"), words.where("first").select("word", "c")
 
 
@@ -340,12 +374,8 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def score_texts(texts: list[bytes], number: dict[bytes, int], counts: np.ndarray, codes: np.ndarray, model: Model, priors: np.ndarray) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of each text. number: place of a word in ``counts`` and ``codes``."""
-    cut = [words_of(t) for t in texts]
-    flat: list[int] = []
-    for w in cut:
-        flat.extend(map(number.__getitem__, w))
-        flat.append(number[END])
-    at, ends = np.array(flat, np.int64), np.cumsum([len(w) + 1 for w in cut]) - 1
+    words, ends = cut_texts(texts)
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     c, code = counts[at], codes[at]
     slot = np.where(c > 0, code >> 32, UNSEEN)
     base = np.log10((c + 0.5) / model.whole)
@@ -367,10 +397,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not texts.num_rows:
             return SCORES.empty_table()
         model, priors = shared.value
-        asked = answers["word"].to_pylist()
+        asked = answers["word"].to_numpy().tolist()
         number = dict(zip(asked, range(len(asked))))
-        vocabulary = Vocabulary(model.top)
-        codes = np.fromiter(map(vocabulary.code, asked), np.int64, len(asked))
+        codes = Vocabulary(model.top).codes(asked)
         c = answers["c"].to_numpy()
         out = [score_texts(part, number, c, codes, model, priors) for part in grouped(texts["text"].combine_chunks())]
         return pa.table([texts["doc_id"], texts["held_out"], *[pa.array(np.concatenate([o[i] for o in out])) for i in range(4)]], schema=SCORES)

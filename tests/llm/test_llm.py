@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import pickle
 import zlib
 from collections import Counter
 from itertools import cycle
@@ -469,6 +470,44 @@ def test_language_model_learns(spark):
     assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.15
 
 
+def test_counts_of_weights_that_came_by_pickle(monkeypatch):
+    """A broadcast's arrays have a dtype object of their own, with which ``add.at`` casts each number: counts are added to numpy's own."""
+    met = []
+
+    class Add:
+        @staticmethod
+        def at(to, places, numbers):
+            met.append(to.dtype is np.dtype(to.dtype.type))
+            np.add.at(to, places, numbers)
+
+    class Numpy:
+        add = Add
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    rng = np.random.default_rng(6)
+    weights = rng.normal(0, 0.3, (1 << 16, maxent_lm.FAN)).astype(np.float32)
+    priors = maxent_lm.log_priors(rng.random(maxent_lm.SLOTS) + 0.1)
+    codes, ends = maxent_lm.coded([b"a b  A c", b"", b"b a"], maxent_lm.Vocabulary([b"", b"a"]))
+    monkeypatch.setattr(maxent_lm, "np", Numpy())
+    sums = []
+    for now in (weights, pickle.loads(pickle.dumps(weights))):
+        sums.append((np.zeros_like(now), np.zeros_like(now)))
+        maxent_lm.add_counts(maxent_lm.histories(codes, ends), codes >> 32, now, priors, *sums[-1])
+    assert met and all(met)
+    assert all((a == b).all() for a, b in zip(*sums)) and sums[0][0].sum() == 8 * len(codes) and sums[0][1].sum() == pytest.approx(8 * len(codes))
+
+
+def test_codes_of_many_words():
+    """Slots and codes made together are those made one by one."""
+    rng = np.random.default_rng(7)
+    words = [b"", b"a", b"\xff", *(bytes(rng.integers(0, 256, n).tolist()) for n in rng.integers(0, 40, 500)), *(bytes([a, b]) for a in range(0, 256, 5) for b in range(256))]
+    vocabulary = maxent_lm.Vocabulary(words[3:50])
+    assert maxent_lm.spelt_slots(words).tolist() == [maxent_lm.spelt_slot(w) for w in words]
+    assert vocabulary.codes(words).tolist() == [vocabulary[w] for w in words] and vocabulary.codes([]).tolist() == []
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
