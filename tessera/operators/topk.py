@@ -4,8 +4,10 @@ The queries are broadcast only if there are at most ``BROADCAST_QUERIES``; beyon
 half as many, and each block is broadcast in turn (a query set against all rows). Each block keeps its k best per query before the one shuffle on the
 query id.
 
-``nearest_texts`` embeds texts and searches them in the same Arrow batches: a text is embedded once, vectors never leave the worker, a batch is
-one matrix product with the queries, and each task hands on its k best per query alone.
+``nearest_texts`` embeds texts and searches them in the same Arrow batches: a text is embedded once, vectors never leave the worker and a batch is
+one matrix product with the queries. By default it ranks every text for every query: pairs are dealt by query and band of score, and each task also
+tells each band how many of its pairs lie in better bands, so that a band knows its first rank without waiting for the others. Given a number k, each
+task hands on its k best per query alone.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessera.functions import models
 from tessera.functions import vectors as V
@@ -25,6 +27,10 @@ from tessera.functions import vectors as V
 BROADCAST_QUERIES = 10_000
 #: Texts that are embedded and compared at once.
 TEXTS = 256
+#: At most so many pairs are handed on at once.
+PAIRS = 1 << 18
+#: Bands of equal width that scores from 1 to -1 are dealt to.
+BANDS = 256
 
 
 def pairs(queries: DataFrame, rows: DataFrame, same: Column | None = None) -> DataFrame:
@@ -106,11 +112,20 @@ class Best:
         self.least[self.place[last]] = key[order][last]
 
 
-def nearest_texts(queries: DataFrame, texts: DataFrame, top_k: int, factory: Callable[[], object] = models.HashedEmbedder) -> DataFrame:
-    """query_id, rank, vec_id, score: the texts whose embedding has the largest cosine with the query's, rounded to six places, ties to the
-    smaller id. queries: query_id, text; texts: vec_id (long), text. Blank texts have no vector and take no part; a norm of zero scores 0."""
-    V.check_search(top_k, "cosine")
+def bands(score: np.ndarray) -> np.ndarray:
+    """0 to BANDS - 1 by falling score; not a number lies in the first."""
+    found = np.clip(np.floor((1 - score) * (BANDS / 2)), 0, BANDS - 1)
+    return np.where(np.isnan(found), 0, found).astype(np.int64)
+
+
+def nearest_texts(queries: DataFrame, texts: DataFrame, top_k: int | None = None, factory: Callable[[], object] = models.HashedEmbedder) -> DataFrame:
+    """query_id, rank, vec_id, score: the texts by falling cosine of their embedding with the query's, rounded to six places, ties to the
+    smaller id; all of them, or the ``top_k`` best. queries: query_id, text; texts: vec_id (long), text. Blank texts have no vector and take no
+    part; a norm of zero scores 0."""
+    if top_k is not None:
+        V.check_search(top_k, "cosine")
     schema = StructType([queries.schema["query_id"], *texts.limit(0).selectExpr("CAST(vec_id AS long) AS vec_id", "CAST(0 AS double) AS score").schema])
+    everything = StructType([queries.schema["query_id"], StructField("vec_id", LongType()), StructField("score", DoubleType()), StructField("band", LongType())])
     vectors = StructType([queries.schema["query_id"], *queries.limit(0).selectExpr("CAST(null AS array<double>) AS vector").schema])
 
     def embed(batches):
@@ -120,7 +135,18 @@ def nearest_texts(queries: DataFrame, texts: DataFrame, top_k: int, factory: Cal
                 at, found, _ = embedded(part.column(1), factory)
                 yield pa.record_batch([part.column(0).take(pa.array(at)), pa.array(list(found), pa.list_(pa.float64()))], ["query_id", "vector"])
 
-    def search(part: DataFrame) -> DataFrame:
+    def compared(batches, matrix, norms, texts_at_once):
+        """(scores, a row for each text and a column for each query; which ids are valid; ids)."""
+        for batch in batches if len(matrix) else ():
+            for a in range(0, batch.num_rows, texts_at_once):
+                part = batch.slice(a, texts_at_once)
+                at, found, lengths = embedded(part.column(1), factory)
+                if len(at):
+                    both, ident = lengths[:, None] * norms, part.column(0)
+                    score = rounded(np.divide(found @ matrix.T, both, out=np.zeros_like(both), where=both != 0))
+                    yield score, ident.is_valid().to_numpy(zero_copy_only=False)[at], ident.fill_null(0).to_numpy()[at]
+
+    def search(part: DataFrame, block: int) -> DataFrame:
         asked = part.select("query_id", "text").mapInArrow(embed, vectors).toArrow().combine_chunks()
         matrix = as_matrix(asked["vector"].to_pylist())
         shared = texts.sparkSession.sparkContext.broadcast((asked["query_id"].combine_chunks(), matrix, np.sqrt((matrix * matrix).sum(axis=1))))
@@ -128,18 +154,34 @@ def nearest_texts(queries: DataFrame, texts: DataFrame, top_k: int, factory: Cal
         def scan(batches):
             names, matrix, norms = shared.value
             best = Best(len(matrix), top_k)
-            for batch in batches if len(matrix) else ():
-                for a in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(a, TEXTS)
-                    at, found, lengths = embedded(part.column(1), factory)
-                    if len(at):
-                        both, ident = lengths[:, None] * norms, part.column(0)
-                        score = rounded(np.divide(found @ matrix.T, both, out=np.zeros_like(both), where=both != 0))
-                        best.add(score, ident.is_valid().to_numpy(zero_copy_only=False)[at], ident.fill_null(0).to_numpy()[at])
+            for score, valid, ident in compared(batches, matrix, norms, TEXTS):
+                best.add(score, valid, ident)
             yield pa.record_batch([names.take(pa.array(best.place)), pa.array(best.ident, mask=~best.valid), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
-        return texts.select(F.col("vec_id").cast("long").alias("vec_id"), "text").mapInArrow(scan, schema)
+        def scan_all(batches):
+            """Every pair; then for each band, without a score, the number of this task's pairs in better bands in place of an id."""
+            names, matrix, norms = shared.value
+            each, first = len(matrix), (block << 32) * BANDS
+            seen = np.zeros(each * BANDS, np.int64)
+            for score, valid, ident in compared(batches, matrix, norms, min(TEXTS, max(1, PAIRS // max(each, 1)))):
+                score, place = score.T.ravel(), np.repeat(np.arange(each), len(ident))
+                band = place * BANDS + bands(score)
+                np.add.at(seen, band, 1)
+                ids = pa.array(np.tile(ident, each), mask=np.tile(~valid, each))
+                yield pa.record_batch([names.take(pa.array(place)), ids, pa.array(score), pa.array(first + band)], everything.names)
+            better = (np.cumsum(seen.reshape(-1, BANDS), axis=1) - seen.reshape(-1, BANDS)).ravel()
+            told = np.flatnonzero(better)
+            for a in range(0, len(told), PAIRS):
+                band = told[a : a + PAIRS]
+                yield pa.record_batch([names.take(pa.array(band // BANDS)), pa.array(better[band]), pa.nulls(len(band), pa.float64()), pa.array(first + band)], everything.names)
+
+        given = texts.select(F.col("vec_id").cast("long").alias("vec_id"), "text")
+        return given.mapInArrow(scan_all, everything) if top_k is None else given.mapInArrow(scan, schema)
 
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    found = functools.reduce(DataFrame.unionByName, [search(p) for p in ([queries] if few else query_blocks(queries))])
+    found = functools.reduce(DataFrame.unionByName, [search(p, i) for i, p in enumerate([queries] if few else query_blocks(queries))])
+    if top_k is None:
+        inside = W.partitionBy("band").orderBy(F.desc_nulls_first("score"), F.asc("vec_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+        rank = F.sum(F.when(F.col("score").isNull(), F.col("vec_id")).otherwise(1)).over(inside).cast("int")
+        return found.withColumn("rank", rank).where(F.col("score").isNotNull()).select("query_id", "rank", "vec_id", "score")
     return best(found, top_k, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score")

@@ -282,10 +282,10 @@ def prompt_blocks(spark, sf_dir):
 
 @query()
 def semantic_search(spark, sf_dir):
-    """Benchmark items against all documents, by the default hashed embedding."""
+    """Benchmark items against all documents, by the default hashed embedding: every document ranked for every item."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return topk.nearest_texts(queries, texts, retrieval.TOP_K)
+    return topk.nearest_texts(queries, texts)
 
 
 # --- replies ----------------------------------------------------------------------------------------------

@@ -212,3 +212,39 @@ def test_semantic_search_embeds_in_the_scan(spark):
 
     plan = queries.semantic_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
+def test_nearest_texts_ranks_every_text(spark, monkeypatch):
+    """Against every pair by SQL functions, without a k: ties over tasks and inside bands, blank and null texts, null ids, a query id twice, two query blocks."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(1, 12))) for _ in range(300)]
+    texts[5:9] = [" ", None, "", texts[0]]
+    rows = spark.createDataFrame([(None if i == 40 else 3 * i, t) for i, t in enumerate([*texts, *texts[100:200]])], "vec_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*texts[:20], "nothing alike"])], "query_id string, text string")
+    embed = models.embedding_udf()
+    asked = queries.select("query_id", embed("text").alias("query")).where("query IS NOT NULL")
+    scored = topk.pairs(asked, rows.select("vec_id", embed("text").alias("embedding")).where("embedding IS NOT NULL"))
+    scored = scored.select("query_id", "vec_id", F.round(V.cosine(F.col("query"), F.col("embedding"), "embedding"), 6).alias("score"))
+    want = topk.best(scored, 1000, [F.desc("score"), F.asc("vec_id")]).select("query_id", "rank", "vec_id", "score").collect()
+    found = topk.nearest_texts(queries, rows)
+    assert set(found.collect()) == set(want) and found.count() == len(want) == 18 * 397 and found.schema["rank"].dataType.simpleString() == "int"
+    monkeypatch.setattr(topk, "PAIRS", 50)
+    monkeypatch.setattr(topk, "BROADCAST_QUERIES", 12)
+    assert set(topk.nearest_texts(queries, rows).collect()) == set(want)
+    assert topk.nearest_texts(queries, rows.limit(0)).count() == 0 and topk.nearest_texts(queries.limit(0), rows).count() == 0
+    twice = topk.nearest_texts(queries.limit(1).union(queries.limit(1)), rows)
+    assert twice.count() == 2 * 397 and {r["count"] for r in twice.groupBy("rank").count().collect()} == {2}
+
+
+def test_bands_follow_falling_scores():
+    score = np.array([np.nan, np.inf, 1, 0.995, 0.5, 0, -0.0, -0.5, -1, -np.inf])
+    band = topk.bands(score)
+    assert (np.diff(band) >= 0).all() and band[0] == 0 and band[-1] == topk.BANDS - 1
+
+
+def test_semantic_search_ranks_every_document(spark):
+    from tessera.plans import queries
+
+    got = queries.semantic_search(spark, "/root/testdata/sf0.001").groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks")).collect()
+    held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("text").rlike(r"\S")).count()
+    assert len(got) == 40 and {(r["n"], r["last"], r["ranks"]) for r in got} == {(held, held, held)}
